@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SEGMENT = 1 << 20
 BATCH_BYTES = 1 << 22
@@ -237,7 +238,16 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     """Write to a Parquet table in the shared folder and read it back: a cut in the lineage that outlives executors."""
     path = shared_dir(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables made by ``saved`` that nothing reads any more."""
+    for t in tables:
+        if t is not None and hasattr(t, "saved_at"):
+            remove(t.sparkSession, t.saved_at)
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
@@ -248,6 +258,15 @@ def remove(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows up to which a table of ids (and little else) is sent to all executors.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(table: DataFrame) -> DataFrame:
+    """A table for a join: marked for broadcast if it has at most BROADCAST_ROWS rows, else as it is (a shuffled join)."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
