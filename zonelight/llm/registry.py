@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that define ``QUERIES`` and, where there is one, ``ORACLE_SQL``.
-MODULES = ["ngram_join", "media", "mixing", "bpe", "sstable", "line_dedup", "fingerprints"]
+MODULES = ["lm_scoring", "quality", "ngram_join", "media", "pii", "mixing", "bpe", "sstable", "line_dedup", "fingerprints"]
 
 
 def _modules() -> list:
