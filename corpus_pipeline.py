@@ -1,4 +1,8 @@
-"""A training-corpus pipeline: its stages, each a documents table in and out."""
+"""A training-corpus pipeline: quality, repeated lines, near copies, source mixture, token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again
+as the next stage's docs.  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,20 +10,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 from zonelight.llm._text import documents, saved
 from zonelight.llm.bpe import encode_decode
+from zonelight.llm.line_dedup import dedup_lines
+from zonelight.llm.mixing import repeated
+from zonelight.llm.ngram_join import keep_one
+from zonelight.llm.quality import keep_good
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    """Documents without lines that stand elsewhere; those of which nothing is left go."""
+    return dedup_lines(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    """One document of each group of near copies."""
+    return keep_one(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    """Documents as often as the mixture of sources holds them, each at least once."""
+    return repeated(docs)
 
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document."""
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    """doc_id, n_tokens, token ids and decoded text of every document of the mixture."""
     return encode_decode(docs)
 
 
-STAGES = [("tokens", tokens)]
+STAGES = [("quality", quality), ("lines", lines), ("near copies", near_copies), ("mixture", mixture), ("tokens", tokens)]
 #: Models and similarity joins have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, over the documents table."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
