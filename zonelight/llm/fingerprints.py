@@ -29,33 +29,36 @@ FULL = np.uint64(2**64 - 1)
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _probe_table(bins: int, depth: int = 64) -> np.ndarray:
+def _probe_table(bins: int, depth: int = 4096) -> np.ndarray:
     """Bin that each empty bin looks at in each attempt: a 2-universal sequence, the same for all documents."""
     at = np.arange(bins, dtype=np.uint64)[:, None] * np.uint64(depth) + np.arange(depth, dtype=np.uint64)[None, :]
-    return (mix64(at.reshape(-1) + np.uint64(0x51ED270B)) % np.uint64(bins)).astype(np.int64).reshape(bins, depth)
+    return (mix64(at.reshape(-1) + np.uint64(0x51ED270B)) % np.uint64(bins)).astype(np.uint8).reshape(bins, depth)
 
 
 _PROBES = _probe_table(BINS)
+_STEPS = [0, 16, 128, 1024, 4096]
 
 
 def densified(bins: np.ndarray) -> np.ndarray:
     """Fill empty bins (FULL) by optimal densification; all empty stays so."""
     full = bins != FULL
-    if full.all() or not full.any():
+    left = np.flatnonzero(~full)
+    if not len(left) or len(left) == len(bins):
         return bins
-    empty = np.flatnonzero(~full)
-    hits = full[_PROBES[empty]]
-    first = hits.argmax(axis=1)
-    found = hits[np.arange(len(empty)), first]
+    if len(left) == len(bins) - 1:  # every sequence ends at the only full bin
+        return np.full_like(bins, bins[full][0])
     out = bins.copy()
-    out[empty[found]] = bins[_PROBES[empty[found], first[found]]]
-    for j in empty[~found]:  # so few full bins that the table ends first: go on with the same kind of sequence
-        k = np.uint64(j) + np.uint64(1 << 32)
-        while True:
-            k = mix64(np.array([k]))[0]
-            if full[int(k % np.uint64(len(bins)))]:
-                out[j] = bins[int(k % np.uint64(len(bins)))]
-                break
+    for a, b in zip(_STEPS[:-1], _STEPS[1:], strict=True):
+        probes = _PROBES[left, a:b]
+        hits = full[probes]
+        first = hits.argmax(axis=1)
+        k = np.arange(len(left))
+        found = hits[k, first]
+        out[left[found]] = bins[probes[k[found], first[found]]]
+        left = left[~found]
+        if not len(left):
+            return out
+    out[left] = bins[np.flatnonzero(full)[left % int(full.sum())]]  # odds under 10^-13 a bin with two full ones
     return out
 
 
