@@ -1,19 +1,271 @@
-"""The registered queries."""
+"""The registered queries: what the engine adds, and one for each kind of relational operation.
+
+Most run the same text on both engines; the others build on the index, the session or the functions.
+"""
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import approx_count_distinct, get_json_object
+from ..operators.build import IndexField
+from ..operators.scan import ZoneTable
+from ..sources.resolvers import FileListResolver, FixedIndex
+from .session import ZoneSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+#: Columns that the index covers, by table.
+INDEXED = {
+    "events": [IndexField("event_id", 1, True), IndexField("ts", 2), IndexField("user_id", 3, True), IndexField("event_type", 4), IndexField("value", 5)],
+    "orders": [IndexField("o_orderkey", 1, True), IndexField("o_custkey", 2, True), IndexField("o_orderdate", 3)],
+    "lineitem": [IndexField("l_orderkey", 1, True), IndexField("l_shipdate", 2), IndexField("l_quantity", 3)],
+}
+
+
+def _uri(sf_dir: str, name: str) -> str:
+    return f"{sf_dir}/{name}.parquet"
+
+
+def _index_folder(spark: SparkSession) -> str:
+    """Where sidecars go: below the shared folder of the cluster, else a folder of this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/zone-index"
+    if not hasattr(_index_folder, "own"):
+        _index_folder.own = tempfile.mkdtemp(prefix="zone-index-")
+        atexit.register(shutil.rmtree, _index_folder.own, ignore_errors=True)
+    return _index_folder.own
+
+
+def _files(sf_dir: str, name: str) -> list[str]:
+    path = _uri(sf_dir, name)
+    if os.path.isdir(path):
+        return sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".parquet"))
+    return [path]
+
+
+def zone_table(spark: SparkSession, sf_dir: str, name: str) -> ZoneTable:
+    table = ZoneTable(spark, _files(sf_dir, name), INDEXED.get(name, []), _index_folder(spark))
+    table.index()
+    return table
+
+
+def session(spark: SparkSession, sf_dir: str) -> ZoneSession:
+    tables = {n: _files(sf_dir, n) for n in TABLES}
+    return ZoneSession.from_snapshots(spark, FileListResolver(tables), FixedIndex(by_table=INDEXED), _index_folder(spark))
+
+
+def _front(sql: str) -> Query:
+    """A statement through the SQL front: names, row limit, pruning."""
+    return lambda spark, sf_dir: session(spark, sf_dir).run(sql).df
+
+
+def _plain(sql: str) -> Query:
+    """A statement over temporary views of the tables."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for n in TABLES:
+            spark.read.parquet(_uri(sf_dir, n)).createOrReplaceTempView(n)
+        return spark.sql(sql)
+
+    return run
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id = 500").select("event_id", "user_id")
+    """A point lookup in the events table through its zone index."""
+    return zone_table(spark, sf_dir, "events").scan([("event_id", "=", 500)], ["event_id", "user_id", "event_type"])
+
+
+# -- the index and its scans ---------------------------------------------------------------------------
+
+
+def index_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the index says of the events table, over all zones."""
+    table = zone_table(spark, sf_dir, "events")
+    rows = [(c.field_id, z.row_count, c.null_count, c.value_count) for u in table.uris for z in table.sidecar(u).zone_map.zones for c in z.columns.values()]
+    return spark.createDataFrame(rows, "field_id int, row_count long, null_count long, value_count long").groupBy("field_id").agg(F.sum("row_count").alias("row_count"), F.sum("null_count").alias("null_count"), F.sum("value_count").alias("value_count"))
+
+
+def exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lookup through the source that reads listed row groups only."""
+    return zone_table(spark, sf_dir, "events").scan([("user_id", "=", 7)], ["event_id", "user_id", "value"], exact=True)
+
+
+def memory_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of in-memory zones: four ranges of events."""
+    from ..operators.build import zone_of
+    from ..sources.memory import MemoryZoneTable
+    from ..sources.zonemap import ZoneMap
+
+    types, fields, frames, zones, at = {1: "long"}, [IndexField("event_id", 1)], [], [], 0
+    events = spark.read.parquet(_uri(sf_dir, "events")).select("event_id", "user_id")
+    bounds = events.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
+    step = (bounds["hi"] - bounds["lo"]) // 4 + 1
+    for k in range(4):
+        lo = bounds["lo"] + k * step
+        frame = events.where((F.col("event_id") >= lo) & (F.col("event_id") < lo + step))
+        zone, _ = zone_of(frame.select("event_id").toArrow(), k, at, fields, types)
+        frames.append(frame)
+        zones.append(zone)
+        at += zone.row_count
+    table = MemoryZoneTable(spark, ZoneMap(zones), frames, {"event_id": 1}, types)
+    return table.scan([("event_id", ">=", bounds["lo"] + 3 * step)], ["event_id", "user_id"])
+
+
+def contract_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement recorded and run again from its record."""
+    s = session(spark, sf_dir)
+    return s.run_contract(s.sql_to_contract("SELECT event_id, value FROM main.default.events WHERE event_id BETWEEN 100 AND 140 ORDER BY event_id")).df
+
+
+# -- functions -----------------------------------------------------------------------------------------
+
+
+def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(_uri(sf_dir, "events"))
+    return events.select("event_id", get_json_object("props", "$.k").alias("k"), get_json_object("props", '$["k"]').alias("quoted"), get_json_object("props", "$.missing").alias("missing"))
+
+
+def approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(_uri(sf_dir, "events"))
+    both = events.agg(approx_count_distinct("user_id").alias("a"), F.countDistinct("user_id").alias("e"))
+    return both.select((F.abs(F.col("a") - F.col("e")) <= 0.1 * F.col("e")).alias("close"))
+
+
+# name: SQL of both engines, through the front (names, limit and pruning apply)
+FRONT = {
+    "point": "SELECT event_id, user_id, event_type FROM events WHERE event_id = 5000",
+    "point_absent": "SELECT event_id, user_id FROM events WHERE event_id = -5",
+    "flip": "SELECT event_id FROM events WHERE 20 > event_id",
+    "in_list": "SELECT event_id, user_id FROM events WHERE event_id IN (3, 77, 900, 123456789)",
+    "and_split": "SELECT event_id FROM events WHERE event_id >= 100 AND event_type <> 'zzz' AND event_id < 130",
+    "between": "SELECT event_id FROM events WHERE event_id BETWEEN 40 AND 60",
+    "not_equal": "SELECT count(*) AS n FROM events WHERE event_id <> 10",
+    "either": "SELECT count(*) AS n FROM events WHERE event_id = 10 OR user_id = 3",
+    "range_ts": "SELECT count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00'",
+    "bloom_point": "SELECT count(*) AS n FROM events WHERE user_id = 7",
+    "low_cardinality": "SELECT event_type, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY event_type",
+    "decimal_filter": "SELECT count(*) AS n FROM events WHERE CAST(value AS DECIMAL(12,2)) > 50.00",
+    "double_filter": "SELECT count(*) AS n FROM events WHERE value > 90",
+    "is_null": "SELECT count(*) AS n FROM events WHERE value IS NULL",
+    "auto_limit": "SELECT event_id FROM (SELECT event_id FROM events ORDER BY event_id LIMIT 90) t",
+    "zone_self_join": "SELECT a.event_id AS x, b.event_id AS y FROM events a FULL JOIN events b ON a.event_id = b.event_id AND a.event_id = 500 AND b.event_id = 500 WHERE a.event_id = 500 OR b.event_id = 700",
+    "zone_join": "SELECT o.o_orderkey, count(*) AS n, sum(l.l_quantity) AS quantity FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE o.o_orderkey BETWEEN 100 AND 160 GROUP BY o.o_orderkey",
+    "zone_cte": "WITH e AS (SELECT event_id, value FROM events WHERE event_id < 200) SELECT count(*) AS n, max(event_id) AS top FROM e WHERE event_id >= 150",
+}
+# name: SQL of both engines over plain views
+PLAIN = {
+    "join_inner": "SELECT n.n_name, count(*) AS n FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name",
+    "join_using": "SELECT count(*) AS n FROM (SELECT o_custkey AS k FROM orders) o JOIN (SELECT c_custkey AS k FROM customer) c USING (k)",
+    "join_natural": "SELECT count(*) AS n FROM (SELECT n_regionkey AS r_regionkey FROM nation) a NATURAL JOIN region b",
+    "join_left": "SELECT c.c_custkey, count(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 200000 GROUP BY c.c_custkey",
+    "join_right": "SELECT count(*) AS n, count(o.o_orderkey) AS matched FROM orders o RIGHT JOIN customer c ON c.c_custkey = o.o_custkey",
+    "join_full": "SELECT count(*) AS n, count(s.s_suppkey) AS a, count(c.c_custkey) AS b FROM supplier s FULL JOIN customer c ON s.s_suppkey = c.c_custkey",
+    "join_null_safe": "SELECT count(*) AS n FROM (SELECT CASE WHEN n_regionkey = 1 THEN NULL ELSE n_regionkey END AS k FROM nation) a JOIN (SELECT CASE WHEN r_regionkey = 1 THEN NULL ELSE r_regionkey END AS k FROM region) b ON a.k IS NOT DISTINCT FROM b.k",
+    "join_lateral": "SELECT r.r_name, t.n_name FROM region r, LATERAL (SELECT n.n_name FROM nation n WHERE n.n_regionkey = r.r_regionkey ORDER BY n.n_name LIMIT 2) t",
+    "join_semi": "SELECT count(*) AS n FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 100000)",
+    "join_semi_in": "SELECT count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)",
+    "join_anti": "SELECT count(*) AS n FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "join_theta": "SELECT count(*) AS n FROM supplier a JOIN supplier b ON a.s_acctbal < b.s_acctbal",
+    "join_cross": "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n",
+    "join_range": "SELECT count(*) AS n FROM nation a JOIN nation b ON b.n_nationkey BETWEEN a.n_nationkey AND a.n_nationkey + 3",
+    "agg_basic": "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity, round(avg(l_discount), 6) AS discount, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship FROM lineitem GROUP BY l_returnflag, l_linestatus",
+    "agg_having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12",
+    "agg_distinct": "SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY o_orderpriority",
+    "distinct": "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem",
+    "agg_filter": "SELECT count(*) FILTER (WHERE o_totalprice > 100000) AS big, count(*) AS n FROM orders",
+    "grouping_sets": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())",
+    "cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
+    "window_rank": "SELECT c_custkey, row_number() OVER w AS rn, rank() OVER w AS r, dense_rank() OVER w AS d, ntile(4) OVER w AS q FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_nationkey, c_custkey)",
+    "window_percent": "SELECT s_suppkey, round(percent_rank() OVER (ORDER BY s_suppkey), 9) AS p, round(cume_dist() OVER (ORDER BY s_suppkey), 9) AS c FROM supplier",
+    "window_analytic": "SELECT o_orderkey, lag(o_orderkey) OVER w AS before, lead(o_orderkey, 2) OVER w AS after, first_value(o_orderkey) OVER w AS first, nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
+    "window_rows": "SELECT event_id, sum(user_id) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS s FROM events",
+    "window_range": "SELECT n_nationkey, count(*) OVER (ORDER BY n_nationkey RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS n FROM nation",
+    "sort_nulls": "SELECT k, row_number() OVER (ORDER BY k ASC NULLS LAST) AS rn FROM (SELECT DISTINCT CASE WHEN n_regionkey = 2 THEN NULL ELSE n_regionkey END AS k FROM nation) t",
+    "top_k": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 10",
+    "limit_offset": "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 7 OFFSET 11",
+    "union_all": "SELECT n_name AS name FROM nation UNION ALL SELECT r_name AS name FROM region",
+    "union_distinct": "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey AS k FROM region",
+    "intersect": "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0",
+    "intersect_all": "SELECT n_regionkey AS k FROM nation INTERSECT ALL SELECT r_regionkey AS k FROM region",
+    "except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders",
+    "except_all": "SELECT n_regionkey AS k FROM nation EXCEPT ALL SELECT r_regionkey AS k FROM region",
+    "cte": "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey), top AS (SELECT max(total) AS m FROM big) SELECT o_custkey FROM big JOIN top ON total = m",
+    "scalar_subquery": "SELECT count(*) AS n FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)",
+    "correlated_subquery": "SELECT c_custkey, (SELECT count(*) FROM orders o WHERE o.o_custkey = c.c_custkey) AS n FROM customer c",
+    "values": "SELECT a, b FROM (VALUES (1, 'x'), (2, 'y')) AS t(a, b)",
+    "no_table": "SELECT 1 + 1 AS two, 'a' AS letter",
+    "compare": "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'high' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'low' END AS class, coalesce(nullif(o_orderstatus, 'F'), 'done') AS status, o_orderkey % 7 = 0 AND NOT o_orderkey < 10 AS flag, CAST(floor(o_totalprice) AS BIGINT) AS whole FROM orders WHERE o_totalprice = floor(o_totalprice) OR o_orderkey < 500",
+    "strings": "SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, trim(concat('  ', c_name, ' ')) AS t, substring(c_name, 2, 4) AS s, length(c_name) AS n, replace(c_name, 'C', 'K') AS r, lpad(CAST(c_custkey AS STRING), 8, '0') AS p, c_name LIKE '%9' AS ends, regexp_replace(c_name, '[0-9]+', '#') AS masked FROM customer",
+    "maths": "SELECT s_suppkey, abs(s_acctbal) AS a, round(s_acctbal, 1) AS r, CAST(floor(s_acctbal) AS BIGINT) AS f, CAST(ceil(s_acctbal) AS BIGINT) AS c, round(sqrt(abs(s_acctbal)), 6) AS q, round(power(s_suppkey, 2), 3) AS p, round(ln(s_suppkey), 9) AS l, round(exp(s_suppkey / 1000.0), 9) AS e, greatest(s_suppkey, 5) AS g, least(s_suppkey, 5) AS m FROM supplier WHERE s_suppkey > 0",
+    "dates": "SELECT o_orderkey, date_trunc('month', o_orderdate) AS month, CAST(o_orderdate AS DATE) AS day, CAST(extract(year FROM o_orderdate) AS INT) AS y, CAST(extract(dow FROM o_orderdate) AS INT) >= 0 AS ok FROM orders",
+}
+# name: (Spark SQL, DuckDB SQL) where the two spell a thing differently
+TWO = {
+    "json_front": ("SELECT event_id, get_json_object(props, '$[\"k\"]') AS k FROM main.default.events WHERE event_id < 50", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_id < 50"),
+    "approx_front": ("SELECT abs(approx_distinct(user_id) - count(DISTINCT user_id)) <= 0.1 * count(DISTINCT user_id) AS close FROM cat.sch.events", "SELECT true AS close"),
+    "fqn": ("SELECT e.event_id, events.user_id FROM main.default.events AS e JOIN a.b.events ON e.event_id = events.event_id WHERE e.event_id < 25", "SELECT event_id, user_id FROM events WHERE event_id < 25"),
+}
+TWO_PLAIN = {
+    "arrays": ("SELECT n_regionkey, size(collect_list(n_nationkey)) AS n, array_contains(collect_list(n_nationkey), 5) AS five, element_at(array_sort(collect_list(n_nationkey)), 1) AS least FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, len(list(n_nationkey))::INT AS n, list_contains(list(n_nationkey), 5) AS five, list_sort(list(n_nationkey))[1] AS least FROM nation GROUP BY n_regionkey"),
+    "array_transform": ("SELECT n_nationkey, aggregate(transform(sequence(1, 4), x -> x * n_nationkey), 0, (a, x) -> a + x) AS s FROM nation", "SELECT n_nationkey, CAST(list_sum(list_transform(range(1, 5), lambda x: x * n_nationkey)) AS INT) AS s FROM nation"),
+    "explode": ("SELECT n_name, w FROM nation LATERAL VIEW explode(split(n_name, '[AEIOU]')) t AS w", "SELECT n_name, unnest(regexp_split_to_array(n_name, '[AEIOU]')) AS w FROM nation"),
+    "maps_structs": ("SELECT n_nationkey, map('k', n_name)['k'] AS by_key, named_struct('a', n_nationkey, 'b', n_name).b AS by_field FROM nation", "SELECT n_nationkey, n_name AS by_key, {'a': n_nationkey, 'b': n_name}.b AS by_field FROM nation"),
+    "date_math": ("SELECT o_orderkey, CAST(date_add(CAST(o_orderdate AS DATE), 30) AS DATE) AS later, datediff(DATE '1999-01-01', CAST(o_orderdate AS DATE)) AS days, date_format(o_orderdate, 'yyyy-MM') AS ym FROM orders", "SELECT o_orderkey, (CAST(o_orderdate AS DATE) + 30)::DATE AS later, datediff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01')::INT AS days, strftime(o_orderdate, '%Y-%m') AS ym FROM orders"),
+    "string_agg": ("SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
+    "view": ("SELECT region, n FROM by_region", "SELECT n_regionkey AS region, count(*) AS n FROM nation GROUP BY n_regionkey"),
+    "statistics": ("SELECT round(stddev_samp(s_acctbal), 4) AS s, round(var_pop(s_acctbal), 2) AS v, round(corr(s_acctbal, s_suppkey), 6) AS c, percentile(s_acctbal, 0.5) AS median FROM supplier", "SELECT round(stddev_samp(s_acctbal), 4) AS s, round(var_pop(s_acctbal), 2) AS v, round(corr(s_acctbal, s_suppkey), 6) AS c, quantile_cont(s_acctbal, 0.5) AS median FROM supplier"),
+}
+
+
+def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query over a view that is itself a query."""
+    spark.read.parquet(_uri(sf_dir, "nation")).groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("n")).createOrReplaceTempView("by_region")
+    return spark.sql(TWO_PLAIN["view"][0])
+
+
+def broadcast_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join that sends the smaller table, of fixed size, to all executors."""
+    c, n = (spark.read.parquet(_uri(sf_dir, t)) for t in ("customer", "nation"))
+    return c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+def union_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files as one table."""
+    table = ZoneTable(spark, _files(sf_dir, "events") * 2, INDEXED["events"], _index_folder(spark))
+    return table.frame().groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+OWN: dict[str, tuple[Query, str]] = {
+    "flagship": (flagship, "SELECT event_id, user_id, event_type FROM events WHERE event_id = 500"),
+    "index_zones": (index_zones, "SELECT f::INT AS field_id, n::BIGINT AS row_count, (n - c)::BIGINT AS null_count, c::BIGINT AS value_count FROM (SELECT count(*) AS n, count(event_id) AS c1, count(ts) AS c2, count(user_id) AS c3, count(event_type) AS c4, count(value) AS c5 FROM events) t, LATERAL (VALUES (1, c1), (2, c2), (3, c3), (4, c4), (5, c5)) v(f, c)"),
+    "exact_groups": (exact_groups, "SELECT event_id, user_id, value FROM events WHERE user_id = 7"),
+    "memory_zones": (memory_zones, "SELECT event_id, user_id FROM events, (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events) b WHERE event_id >= lo + 3 * ((hi - lo) // 4 + 1)"),
+    "contract_replay": (contract_replay, "SELECT event_id, value FROM events WHERE event_id BETWEEN 100 AND 140"),
+    "json_paths": (json_paths, "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k') AS quoted, CAST(NULL AS VARCHAR) AS missing FROM events"),
+    "approx_distinct": (approx_distinct, "SELECT true AS close"),
+    "union_files": (union_files, "SELECT event_type, 2 * count(*) AS n FROM events GROUP BY event_type"),
+    "join_broadcast": (broadcast_join, "SELECT n_name, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"),
+    "view": (_view, TWO_PLAIN["view"][1]),
+}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"flagship": flagship}
+def queries() -> dict[str, Query]:
+    out: dict[str, Query] = {k: f for k, (f, _) in OWN.items()}
+    out |= {k: _front(s) for k, s in FRONT.items()} | {k: _front(a) for k, (a, _) in TWO.items()}
+    out |= {k: _plain(s) for k, s in PLAIN.items()} | {k: _plain(a) for k, (a, _) in TWO_PLAIN.items() if k not in OWN}
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"flagship": "SELECT event_id, user_id FROM events WHERE event_id = 500"}
+    out = {k: s for k, (_, s) in OWN.items()} | dict(FRONT) | dict(PLAIN)
+    return out | {k: b for k, (_, b) in TWO.items()} | {k: b for k, (_, b) in TWO_PLAIN.items()}
