@@ -212,27 +212,27 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _rebuilt(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """df with (_lines, _gone, _text): its non-blank lines, how many go, and what stays."""
-    gone = saved(removed_lines(df, id_col, text_col), "removed").toDF("_doc", "_tkey", "_removed")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = df.join(bounded(gone), F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_tkey")), "left")
-    solid = F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t\x0b\x0c\r]")))
-    stays = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    return joined.withColumns({"_lines": solid, "_gone": F.coalesce(F.size("_removed"), F.lit(0)), "_text": F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(stays)}).drop("_doc", "_tkey", "_removed")
+    """row (all columns of df), lines, gone and left: the non-blank lines of each text, how many go, and what stays."""
+    gone = saved(removed_lines(df, id_col, text_col), "removed").toDF("doc", "tkey", "removed")
+    whole = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    joined = whole.join(bounded(gone), F.col("id").eqNullSafe(F.col("doc")) & (F.xxhash64("text") == F.col("tkey")), "left")
+    lines = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t\x0b\x0c\r]")))
+    stays = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    return joined.select("row", lines.alias("lines"), F.coalesce(F.size("removed"), F.lit(0)).alias("gone"), F.when(F.col("removed").isNull(), F.col("row").getField(text_col)).otherwise(stays).alias("left"))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df with repeated and near-repeated lines taken out, without documents of which nothing is left."""
-    out = _rebuilt(df, id_col, text_col).where("_lines = 0 OR _gone < _lines")
-    made = {text_col: F.col("_text")}
+    out = _rebuilt(df, id_col, text_col).where("lines = 0 OR gone < lines")
+    row = F.col("row").withField(text_col, F.col("left"))
     if "n_chars" in df.columns:
-        made["n_chars"] = F.when(F.col("_gone") > 0, F.length("_text").cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumns(made).select(*df.columns)
+        row = row.withField("n_chars", F.when(F.col("gone") > 0, F.length("left").cast(df.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return out.select(row.alias("row")).select("row.*")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return _rebuilt(docs, "doc_id", "text").select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_gone").cast("long").alias("n_removed"), F.col("_text").alias("text"))
+    return _rebuilt(docs, "doc_id", "text").select("row.doc_id", F.col("lines").cast("long").alias("n_lines"), F.col("gone").cast("long").alias("n_removed"), F.col("left").alias("text"))
 
 
 QUERIES = {"op9_line_dedup": op9_line_dedup}

@@ -144,11 +144,10 @@ def repeated(df: DataFrame, entropy: float = ENTROPY, max_repeats: float = MAX_R
     last = part.groupBy(F.col("source").alias("s")).agg(F.max(F.struct("key", "tkey")).alias("_last"))
     ends = plan.select(F.col("source").alias("_source"), F.floor("repeats").cast("int").alias("_whole")).join(last, F.col("_source").eqNullSafe(F.col("s")), "left")
     ends = saved(ends.select("_source", "_whole", "_last"), "ends")
-    own = df.withColumn("doc_id", F.col(id_col).cast("long")) if id_col != "doc_id" else df
-    key = F.struct(_key(F.col("_whole")).alias("key"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tkey"))
-    copies = F.col("_whole") + F.when(key <= F.col("_last"), F.lit(1)).otherwise(F.lit(0))
-    out = own.join(bounded(ends), F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
-    return out.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*df.columns)
+    whole = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tkey"))
+    copies = F.col("_whole") + F.when(F.struct(_key(F.col("_whole")).alias("key"), "tkey") <= F.col("_last"), F.lit(1)).otherwise(F.lit(0))
+    out = whole.join(bounded(ends), F.col("source").eqNullSafe(F.col("_source"))).select("row", copies.alias("copies"))
+    return out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

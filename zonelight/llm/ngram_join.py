@@ -289,8 +289,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df whose id is the least of its component; rows without an id stay."""
-    gone = components(df, id_col, text_col).where("component_id != doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(gone, id_col, "left_anti")
+    gone = saved(components(df, id_col, text_col).where("component_id != doc_id").select(F.col("doc_id").alias("doc")).distinct(), "gone")
+    whole = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).cast("long").alias("id"))
+    return whole.join(bounded(gone), F.col("id") == F.col("doc"), "left_anti").select("row.*")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,9 +219,10 @@ def fit(spark: SparkSession, n: int = TRAIN_ROWS) -> Boosted:
 
 
 def find(df: DataFrame, text_col: str = "text", model: Boosted | None = None) -> DataFrame:
-    """df with _base and _added: arrays of (kind, start, end), each by kind as listed, then start."""
+    """df with _base and _added (which replace columns of these names): arrays of (kind, start, end), each by kind as listed, then start."""
     model = model or fit(df.sparkSession)
-    out = _matched(df, F.col(text_col), BASE + LOOSE)
+    names = [c for c in df.columns if c not in ("_base", "_added")]
+    out = _matched(df.select(F.struct(*df.columns).alias("row")), F.col("row").getField(text_col), BASE + LOOSE)
     checked = ", ".join(f"transform(filter(_{k}, c -> {CHECKS[k]}), c -> named_struct('kind', '{k}', 'start', c.start, 'end', c.end))" for k in BASE)
     out = out.withColumn("_base", F.expr(f"concat({checked})"))
     out = out.withColumns({f"_f_{k}": F.expr(f"CASE WHEN size(_{k}) > 0 THEN {_featured(f'_{k}')} END") for k in LOOSE})
@@ -232,18 +233,15 @@ def find(df: DataFrame, text_col: str = "text", model: Boosted | None = None) ->
     sweep = "aggregate(_likely, slice(_likely, 1, 0), (a, c) -> CASE WHEN size(a) = 0 OR a[size(a) - 1].end <= c.start THEN concat(a, array(c)) WHEN c.p > a[size(a) - 1].p THEN concat(slice(a, 1, size(a) - 1), array(c)) ELSE a END)"
     out = out.withColumn("_swept", F.expr(f"CASE WHEN size(_likely) > 0 THEN {sweep} ELSE _likely END"))
     out = out.withColumn("_added", F.concat(*[F.expr(f"transform(filter(_swept, c -> c.kind = '{k}'), c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end))") for k in LOOSE]))
-    return out.drop(*(f"_{k}" for k in BASE + LOOSE), *(f"_f_{k}" for k in LOOSE), "_likely", "_swept")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names], "_base", "_added")
 
 
 def redact(df: DataFrame, text_col: str = "text", model: Boosted | None = None) -> DataFrame:
     """df with every found span of its text replaced by its kind in angle brackets; overlapping spans count as one."""
-    out = find(df, text_col, model).withColumn("_all", F.expr("array_sort(transform(concat(_base, _added), c -> named_struct('start', c.start, 'end', c.end, 'kind', c.kind)))"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    pieces = out.withColumn("_t", text).withColumn(
-        "_new",
-        F.expr("aggregate(_all, named_struct('pos', 0, 'out', cast(array() AS array<string>)), (a, c) -> IF(c.end <= a.pos, a, IF(c.start < a.pos, named_struct('pos', c.end, 'out', a.out), named_struct('pos', c.end, 'out', concat(a.out, array(substring(_t, a.pos + 1, c.start - a.pos), concat('<', c.kind, '>')))))), a -> concat(array_join(a.out, ''), substring(_t, a.pos + 1)))"),
-    )
-    return pieces.withColumn(text_col, F.when(F.size("_all") > 0, F.col("_new")).otherwise(F.col(text_col))).select(*df.columns)
+    whole = df.select(F.struct(*df.columns).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    out = find(whole, "t", model).withColumn("spans", F.expr("array_sort(transform(concat(_base, _added), c -> named_struct('start', c.start, 'end', c.end, 'kind', c.kind)))"))
+    new = F.expr("aggregate(spans, named_struct('pos', 0, 'out', cast(array() AS array<string>)), (a, c) -> IF(c.end <= a.pos, a, IF(c.start < a.pos, named_struct('pos', c.end, 'out', a.out), named_struct('pos', c.end, 'out', concat(a.out, array(substring(t, a.pos + 1, c.start - a.pos), concat('<', c.kind, '>')))))), a -> concat(array_join(a.out, ''), substring(t, a.pos + 1)))")
+    return out.select(F.col("row").withField(text_col, F.when(F.size("spans") > 0, new).otherwise(F.col("row").getField(text_col))).alias("row")).select("row.*")
 
 
 def _joined(spans: str) -> Column:

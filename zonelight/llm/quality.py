@@ -222,9 +222,9 @@ def classify(df: DataFrame, labels: DataFrame, host_col: str = "source", path_co
 
 def keep_good(df: DataFrame, labels: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     """The rows of df that the classifier keeps."""
-    gone = saved(classify(df, labels, **options).where("NOT keep").select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_tkey")).distinct(), "rejected")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return df.join(bounded(gone), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_tkey")), "left_anti")
+    gone = saved(classify(df, labels, **options).where("NOT keep").select(F.col("doc_id").alias("doc"), "tkey").distinct(), "rejected")
+    whole = df.select(F.struct(*df.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("own"))
+    return whole.join(bounded(gone), F.col("id").eqNullSafe(F.col("doc")) & (F.col("own") == F.col("tkey")), "left_anti").select("row.*")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
