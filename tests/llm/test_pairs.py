@@ -164,3 +164,14 @@ def test_bands_find_alike_lines(likeness, least):
     x = line_dedup.bands(line_dedup.signatures([p[0] for p in pairs]))
     y = line_dedup.bands(line_dedup.signatures([p[1] for p in pairs]))
     assert (x == y).any(axis=1).mean() >= least
+
+
+def test_components_by_joins_equal_those_of_one_task(spark, monkeypatch):
+    from zonelight.llm import _components
+
+    r = random.Random(9)
+    pairs = [(i, i + 1) for i in range(70)] + [(r.randint(100, 300), r.randint(100, 300)) for _ in range(150)] + [(5000, 5000 + i) for i in range(1, 30)]
+    frame = spark.createDataFrame(pairs, "a long, b long")
+    one = sorted(map(tuple, connected_components(frame).collect()))
+    monkeypatch.setattr(_components, "ONE_TASK_LINKS", 0)
+    assert sorted(map(tuple, connected_components(frame).collect())) == one
