@@ -6,22 +6,50 @@ Each step is cut by a table in the shared folder, so a lost executor repeats one
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import drop, saved
 
 
+#: Links up to which one task finds the components (16 bytes each); beyond it they are found by joins.
+ONE_TASK_LINKS = 1_000_000
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all links of a partition, by pointer jumping over arrays."""
+    parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+    u, v = (np.concatenate([np.zeros(0, np.int64), *[p[k] for p in parts]]) for k in range(2))
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while True:
+        a, b = root[u], root[v]
+        if (a == b).all():
+            break
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(ids[root], pa.int64())], names=["id", "comp"])
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, comp) of every id in links (a long, b long): comp is the least id that links reach.
 
+    Up to ONE_TASK_LINKS distinct links one task unites them; more go through joins:
     Alternating large-star and small-star steps.  A node's least neighbour comes from a partial
     aggregation and goes back by a join that Spark splits where a node is hot, so no task gathers a
     node's neighbours.  Self links keep an id alone.  Null ends are ignored.
     """
     edges = saved(links.where("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if edges.count() <= ONE_TASK_LINKS:
+        out = saved(edges.coalesce(1).mapInArrow(_union_find, "id long, comp long"), "components")
+        drop(edges)
+        return out
     ids = edges
     seen = None
     while True:
@@ -44,26 +72,31 @@ def connected_components(links: DataFrame) -> DataFrame:
     return out
 
 
-def resolve(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], near: str | None = None, small: int = 4) -> DataFrame:
+def resolve(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], near: str | None = None, small: int = 8) -> DataFrame:
     """Components (id, comp) of all linked pairs among the ids that share a bucket.
 
-    buckets: (bucket long, id long, size long).  ``verify`` gets distinct pairs (a, b), a < b, and returns
-    those that are linked.  ``near`` is an SQL condition on sa and sb, the sizes, that linked pairs meet.
+    buckets: (bucket long, id long), optionally prio, and any other columns.  ``verify`` gets distinct pairs
+    (a, b), a < b, and returns those that are linked.  ``near`` is an SQL condition that each linked pair meets in
+    one of its buckets, on x_a and x_b for every other column x of the two members.
 
-    In every round a bucket's centres, the least ids of some classes, are compared with the bucket's
-    other members; then they leave the bucket, all of whose pairs with them are decided.  Members that
-    got linked share a component and need no further comparison; a bucket within one component is done.
-    The number of centres doubles from round to round, so that buckets of unlike members end as well, each
-    pair compared.  No pair of unlike components that shares a bucket stays undecided: the result has every link.
+    In every round a bucket's centres, the members of least prio in some classes, are compared with the
+    bucket's other members; then they leave the bucket, all of whose pairs with them are decided.  Members
+    that got linked share a component and need no further comparison; a bucket within one component is done.
+    The number of centres grows 64-fold from round to round, so that buckets of unlike members end as well,
+    each pair compared.  No pair of unlike components that shares a bucket stays undecided: the result has
+    every link.
     """
     spark = buckets.sparkSession
-    alive, previous, labels, rounds = buckets.select("bucket", "id", "size"), None, None, 0
+    own = [c for c in buckets.columns if c not in ("bucket", "id", "prio")]
+    names = ["bucket", "id", "prio", *own]
+    alive = (buckets if "prio" in buckets.columns else buckets.withColumn("prio", F.xxhash64("id"))).select(*names)
+    previous, labels, rounds = None, None, 0
     while True:
-        n = 1 << rounds
+        n = 1 << 6 * rounds
         if labels is None:
             marked = alive.withColumn("comp", F.col("id"))
         else:
-            marked = alive.join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("comp", "id").alias("comp"))
+            marked = alive.join(labels, "id", "left").select(*names, F.coalesce("comp", "id").alias("comp"))
         stats = marked.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
         live = saved(marked.join(stats.where("lo != hi").select("bucket", "n"), "bucket"), "live")
         drop(previous)
@@ -71,11 +104,11 @@ def resolve(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], near:
             drop(live)
             break
         classed = live.withColumn("class", F.when(F.col("n") <= small + n, F.col("id")).otherwise(F.pmod(F.xxhash64("id", F.lit(rounds)), F.lit(n))))
-        centres = classed.groupBy("bucket", "class").agg(F.min(F.struct(F.xxhash64("id").alias("prio"), "id", "size", "comp")).alias("c"))
-        centres = centres.select("bucket", F.col("c.id").alias("cid"), F.col("c.size").alias("csize"), F.col("c.comp").alias("ccomp"))
+        centres = classed.groupBy("bucket", "class").agg(F.min(F.struct("prio", "id", "comp", *own)).alias("c"))
+        centres = centres.select("bucket", *[F.col(f"c.{c}").alias(f"c{c}") for c in ("id", "comp", *own)])
         pairs = live.join(centres, "bucket").where("id != cid AND comp != ccomp")
         first = F.col("id") < F.col("cid")
-        pairs = pairs.select(F.least("id", "cid").alias("a"), F.greatest("id", "cid").alias("b"), F.when(first, F.col("size")).otherwise(F.col("csize")).alias("sa"), F.when(first, F.col("csize")).otherwise(F.col("size")).alias("sb"))
+        pairs = pairs.select(F.least("id", "cid").alias("a"), F.greatest("id", "cid").alias("b"), *[F.when(first if side == "a" else ~first, F.col(c)).otherwise(F.col(f"c{c}")).alias(f"{c}_{side}") for c in own for side in "ab"])
         pairs = saved((pairs.where(near) if near else pairs).select("a", "b").distinct(), "pairs")
         found = saved(verify(pairs).select("a", "b"), "links")
         merged = found
@@ -83,7 +116,7 @@ def resolve(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], near:
             ends = found.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left")
             merged = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).union(labels.select(F.col("id").alias("a"), F.col("comp").alias("b")))
         components = connected_components(merged)
-        alive = live.join(centres.select("bucket", F.col("cid").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "size")
+        alive = live.join(centres.select("bucket", F.col("cid").alias("id")), ["bucket", "id"], "left_anti").select(*names)
         drop(pairs, found, labels)
         previous, labels, rounds = live, components, rounds + 1
     return spark.createDataFrame([], "id long, comp long") if labels is None else labels

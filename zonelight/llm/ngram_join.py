@@ -9,6 +9,7 @@ counted in each fragment by itself and summed per pair, and the sum decides exac
 2. Shingle hashes go to the fragments.  A shingle that a second class has too is shared; classes with
    fewer than 80 % shared shingles can't link and leave.  Most of a corpus leaves here.
 3. What is left gets document frequencies among the rest, and prefixes; equal posting lists are one bucket.
+   A pair is a candidate only if sizes and the places of a common shingle leave room for enough overlap.
 4. Buckets resolve into components round by round (``_components.resolve``) with the vertical count as test.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; fewer words than five are one shingle.
@@ -37,6 +38,8 @@ FRAGMENT = 1_500_000
 #: Fragments of the vertical count.
 PARTS = 4
 PAIRS_A_BLOCK = 20_000
+#: What sizes allow, and what the shingles from the first common one on allow.
+NEAR = f"{DEN} * least(size_a, size_b) >= {NUM} * greatest(size_a, size_b) AND {DEN + NUM} * (1 + least(rest_a, rest_b)) >= {NUM} * (size_a + size_b)"
 
 
 def least_overlap(n: np.ndarray) -> np.ndarray:
@@ -136,7 +139,7 @@ def _df_lists(table: pa.Table) -> pa.Table:
     order = np.lexsort((hashes, ids))
     hashes, ids, sizes, df = hashes[order], ids[order], sizes[order], df[order]
     docs, at = np.unique(ids, return_index=True)
-    ends = np.concatenate([at[1:], [len(ids)]])
+    ends = np.concatenate([at[1:], [len(ids)]])[: len(docs)]  # no shared shingle: no rows
     return pa.table(
         {
             "doc_id": pa.array(docs, pa.int64()),
@@ -148,20 +151,24 @@ def _df_lists(table: pa.Table) -> pa.Table:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shingle, doc_id, size) of the shared part of each document's prefix."""
+    """The shared part of each document's prefix: shingle, its document frequency, document, size, shingles after it
+    in the document's order, and prio, which is least for documents whose shingles are common."""
     for batch in batches:
-        out_h, out_d, out_n = [], [], []
+        out: list[list] = [[], [], [], [], [], []]
         for doc, size, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "size", "parts")), strict=True):
             h = np.frombuffer(b"".join(p["hashes"] for p in parts), np.uint64)
             f = np.frombuffer(b"".join(p["freq"] for p in parts), "<i8")
-            prefix = size - int(least_overlap(np.int64(size))) + 1 - (size - len(h))
+            own = size - len(h)  # shingles that no other document has come first
+            prefix = size - int(least_overlap(np.int64(size))) + 1 - own
             if prefix > 0:
-                first = h[np.lexsort((h, f))[:prefix]]
-                out_h.append(first)
-                out_d.append(np.full(len(first), doc))
-                out_n.append(np.full(len(first), size))
-        if out_h:
-            yield pa.record_batch([pa.array(np.concatenate(out_h).view(np.int64)), pa.array(np.concatenate(out_d), pa.int64()), pa.array(np.concatenate(out_n), pa.int64())], names=["shingle", "id", "size"])
+                first = np.lexsort((h, f))[:prefix]
+                rest = size - own - 1 - np.arange(len(first))
+                prio = -float(np.log(f).sum()) / size
+                for column, values in zip(out, (h[first], f[first], np.full(len(first), doc), np.full(len(first), size), rest, np.full(len(first), prio)), strict=True):
+                    column.append(values)
+        if out[0]:
+            h, f, doc, size, rest, prio = (np.concatenate(c) for c in out)
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(f, pa.int64()), pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(rest, pa.int64()), pa.array(prio)], names=["shingle", "freq", "id", "size", "rest", "prio"])
 
 
 _EDGES = np.array([(k << 64) // PARTS for k in range(PARTS)], dtype=np.uint64)
@@ -183,25 +190,18 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(columns, names=["part", "block", "id", "seg"])
 
 
-def _overlaps(key: tuple, segs: pa.Table, pairs: pa.Table) -> pa.Table:  # noqa: ARG001
-    """Partial overlaps of a block's pairs in one fragment."""
-    a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
-    ids = segs.column("id").to_numpy()
-    raw = [np.frombuffer(x, np.uint64) for x in segs.column("seg").to_pylist()]
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    raw = [raw[i] for i in order.tolist()]
-    lens = np.array([len(x) for x in raw], np.int64)
+def overlap_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets[left[k]] and sets[right[k]]; sets are ascending arrays without repeats."""
+    lens = np.array([len(x) for x in sets], np.int64)
     starts = np.cumsum(lens) - lens
-    flat = np.concatenate(raw) if raw else np.zeros(0, np.uint64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     _, code = np.unique(flat, return_inverse=True)
     width = np.int64(max(1, int(code.max(initial=0)) + 1))
-    whole = np.repeat(np.arange(len(ids)), lens) * width + code  # ascending: ids in order, codes sorted within
-    ia, ib = np.searchsorted(ids, a), np.searchsorted(ids, b)
-    out = np.zeros(len(a), np.int64)
+    whole = np.repeat(np.arange(len(sets)), lens) * width + code  # ascending: sets in order, codes ascending within
+    out = np.zeros(len(left), np.int64)
     step = max(1, 2_000_000 // max(1, int(lens.max(initial=1))))
-    for lo in range(0, len(a), step):
-        x, y = ia[lo : lo + step], ib[lo : lo + step]
+    for lo in range(0, len(left), step):
+        x, y = left[lo : lo + step], right[lo : lo + step]
         swap = lens[x] > lens[y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
         n = lens[x]
@@ -209,8 +209,17 @@ def _overlaps(key: tuple, segs: pa.Table, pairs: pa.Table) -> pa.Table:  # noqa:
         want = np.repeat(y * width, n) + code[at]
         pos = np.minimum(np.searchsorted(whole, want), max(0, len(whole) - 1))
         hit = whole[pos] == want if len(whole) else np.zeros(0, bool)
-        owner = np.repeat(np.arange(len(x)), n)
-        out[lo : lo + step] = np.bincount(owner[hit], minlength=len(x))
+        out[lo : lo + step] = np.bincount(np.repeat(np.arange(len(x)), n)[hit], minlength=len(x))
+    return out
+
+
+def _overlaps(key: tuple, segs: pa.Table, pairs: pa.Table) -> pa.Table:  # noqa: ARG001
+    """Partial overlaps of a block's pairs in one fragment."""
+    a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+    ids = segs.column("id").to_numpy()
+    raw = [np.frombuffer(x, np.uint64) for x in segs.column("seg").to_pylist()]
+    order = np.argsort(ids, kind="stable")
+    out = overlap_counts([raw[i] for i in order.tolist()], np.searchsorted(ids[order], a), np.searchsorted(ids[order], b))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "part_overlap": pa.array(out, pa.int64())})
 
 
@@ -260,14 +269,15 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sole = sets.join(same.select("id"), "id", "left_anti")
     lists = sole.select("id", "shingles").mapInArrow(_set_fragments(fragments), _FRAGMENT_SCHEMA).groupBy("frag").applyInArrow(_df_lists, "doc_id long, size long, hashes binary, freq binary")
     gathered = lists.groupBy("doc_id").agg(F.max("size").alias("size"), F.collect_list(F.struct("hashes", "freq")).alias("parts"))
-    posts = saved(gathered.mapInArrow(_prefixes, "shingle long, id long, size long"), "posts")
-    signed = posts.groupBy("shingle").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s1"), F.expr("bit_xor(xxhash64(id, 7))").alias("s2"))
-    chosen = signed.where("n > 1").groupBy("n", "s1", "s2").agg(F.min("shingle").alias("shingle")).select("shingle")
-    buckets = saved(posts.join(chosen, "shingle", "left_semi").select(F.col("shingle").alias("bucket"), "id", "size"), "buckets")
+    posts = saved(gathered.mapInArrow(_prefixes, "shingle long, freq long, id long, size long, rest long, prio double"), "posts")
+    # of equal posting lists the first shingle stays: hashes order as unsigned numbers
+    signed = posts.groupBy("shingle").agg(F.min("freq").alias("freq"), F.min(F.col("shingle").bitwiseXOR(F.lit(-(1 << 63)))).alias("order"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s1"), F.expr("bit_xor(xxhash64(id, 7))").alias("s2"))
+    chosen = signed.where("n > 1").groupBy("n", "s1", "s2").agg(F.min(F.struct("freq", "order", "shingle")).alias("first")).select("first.shingle")
+    buckets = saved(posts.join(chosen, "shingle", "left_semi").select(F.col("shingle").alias("bucket"), "id", "size", "rest", "prio"), "buckets")
     drop(left, posts)
 
     # 4. links and components
-    labels = resolve(buckets, lambda pairs: linked_pairs(pairs, sole), f"{DEN} * least(sa, sb) >= {NUM} * greatest(sa, sb)")
+    labels = resolve(buckets, lambda pairs: linked_pairs(pairs, sole), NEAR)
     drop(buckets)
     head_comp = same.select(F.col("id"), "head").join(labels.toDF("head", "comp"), "head", "left").select("id", F.coalesce("comp", "head").alias("comp")).union(labels.select("id", "comp"))
     by_rep = sizes.select(F.col("doc_id").alias("rep"), "size").join(head_comp.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "size", F.when(F.col("size") > 0, F.coalesce("comp", "rep")).alias("comp"))
