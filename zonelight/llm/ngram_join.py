@@ -267,7 +267,9 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     heads = sets.groupBy("digest").agg(F.min("id").alias("head"))
     same = saved(sets.select("id", "digest").join(heads, "digest").where("id != head").select("id", "head"), "same")
     sole = sets.join(same.select("id"), "id", "left_anti")
-    lists = sole.select("id", "shingles").mapInArrow(_set_fragments(fragments), _FRAGMENT_SCHEMA).groupBy("frag").applyInArrow(_df_lists, "doc_id long, size long, hashes binary, freq binary")
+    # as few fragments as the rest needs: a document has a row for each fragment that it has shared shingles in
+    few = max(1, -(-(sole.agg(F.sum("size").alias("n")).first()["n"] or 0) // FRAGMENT))
+    lists = sole.select("id", "shingles").mapInArrow(_set_fragments(few), _FRAGMENT_SCHEMA).groupBy("frag").applyInArrow(_df_lists, "doc_id long, size long, hashes binary, freq binary")
     gathered = lists.groupBy("doc_id").agg(F.max("size").alias("size"), F.collect_list(F.struct("hashes", "freq")).alias("parts"))
     posts = saved(gathered.mapInArrow(_prefixes, "shingle long, freq long, id long, size long, rest long, prio double"), "posts")
     # of equal posting lists the first shingle stays: hashes order as unsigned numbers
