@@ -3,8 +3,9 @@
 Lines are what newlines separate, with ASCII white space trimmed and A-Z lower-cased; blank lines never
 count and always stay.  Equal lines are one class by 64-bit hash.  A line's character 5-gram set (a shorter
 line is one gram) gets a one-permutation MinHash signature with densified bins; lines that agree in one of
-``BANDS`` bands of ``ROWS`` values are candidates (a pair of likeness 0.8 is missed with odds of 0.2 %), and
-those with exact Jaccard likeness of 0.8 or more link.  Components come from the distributed resolution in
+``BANDS`` bands of ``ROWS`` values, and in enough bits of their sketches, are candidates (a pair of likeness 0.8
+is missed with odds below 1 %, one of 0.85 with 0.1 %), and those with exact Jaccard likeness of 0.8 or more
+link.  Components come from the distributed resolution in
 ``_components``.  Of each component the occurrence with the least (doc_id, text hash, line number) stays.
 
 Defined results: null text counts as empty; a null id sorts first; rows with equal id and text are one
@@ -25,14 +26,18 @@ from pyspark.sql import functions as F
 
 from ._components import resolve
 from ._text import bounded, documents, drop, mix64, partitions, saved
+from .ngram_join import overlap_counts
 
-GRAM, ROWS, BANDS = 5, 4, 12
+GRAM, ROWS, BANDS = 5, 6, 16
 THRESHOLD = 0.8
-BINS = ROWS * BANDS
+BINS = 128
+#: Of the sketch of one bit for each bin, the bits in which candidates must agree: a pair of likeness 0.8 agrees in
+#: 115 on average, and in fewer than these with odds of 0.1 %.
+AGREE = 104
 FULL = np.uint64(2**64 - 1)
 FRAGMENT = 1_500_000
 SEED = 42  # of Spark's xxhash64
-_COEF = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+_COEF = mix64(np.arange(1, 129, dtype=np.uint64)) | np.uint64(1)
 _PROBES = (mix64(np.arange(BINS * 256, dtype=np.uint64)) % np.uint64(BINS)).astype(np.int64).reshape(BINS, 256)
 
 
@@ -54,19 +59,30 @@ def jaccard(a: set[str], b: set[str]) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """One-permutation MinHash of each line's character grams, a row of BINS values each, without empty bins."""
+def _gram_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all grams of all lines in order, and the line of each; short lines are padded to one gram."""
     padded = [x if len(x) >= GRAM else x + "\0" * (GRAM - len(x)) for x in lines]
     lens = np.array([len(x) for x in padded], np.int64)
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    size = len(codes) - GRAM + 1
+    size = max(0, len(codes) - GRAM + 1)
     h = np.zeros(size, np.uint64)
     for k in range(GRAM):
         h += codes[k : k + size] * _COEF[k]
-    h = mix64(h)
     row = np.repeat(np.arange(len(lines)), lens)[:size]
     inside = np.arange(size) <= np.repeat(np.cumsum(lens) - GRAM, lens)[:size]
-    h, row = h[inside], row[inside]
+    return mix64(h)[inside], row[inside]
+
+
+def gram_sets(lines: list[str]) -> list[np.ndarray]:
+    """Ascending distinct gram hashes of each line."""
+    h, row = _gram_hashes(lines)
+    cuts = np.searchsorted(row, np.arange(len(lines) + 1)).tolist()
+    return [np.unique(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """One-permutation MinHash of each line's character grams, a row of BINS values each, without empty bins."""
+    h, row = _gram_hashes(lines)
     sig = np.full(len(lines) * BINS, FULL, np.uint64)
     which = ((h >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
     np.minimum.at(sig, row * BINS + which, mix64(h))
@@ -84,7 +100,7 @@ def signatures(lines: list[str]) -> np.ndarray:
 
 def bands(sig: np.ndarray) -> np.ndarray:
     """A bucket for each line and band."""
-    parts = sig.reshape(-1, BANDS, ROWS)
+    parts = sig[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
     out = np.zeros(parts.shape[:2], np.uint64)
     for k in range(ROWS):
         out += parts[:, :, k] * _COEF[k + 8]
@@ -166,16 +182,33 @@ def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(list(lines), pa.int64()), pa.array(list(lines.values()), pa.string())], names=["id", "line"])
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of distinct grams of each line, and one bit of each bin of its signature."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
+            lines = part.column("line").to_pylist()
+            bits = np.packbits((mix64(signatures(lines)) & np.uint64(1)).astype(bool), axis=1).view("<i8")
+            yield pa.record_batch([part.column("id"), pa.array([len(g) for g in gram_sets(lines)], pa.int64()), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())], names=["id", "size", "low", "high"])
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose lines have a Jaccard likeness of THRESHOLD or more."""
     for batch in batches:
-        a, b, held = [], [], (None, set())
-        for x, y, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "la", "lb")), strict=True):
-            if held[0] != x:
-                held = (x, grams(s))
-            if jaccard(held[1], grams(t)) >= THRESHOLD:
-                a.append(x)
-                b.append(y)
-        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for lo in range(0, batch.num_rows, 4096):
+            part = batch.slice(lo, 4096)
+            a, b = part.column("a").to_numpy(), part.column("b").to_numpy()
+            lines = dict(zip(a.tolist(), part.column("la").to_pylist(), strict=True)) | dict(zip(b.tolist(), part.column("lb").to_pylist(), strict=True))
+            ids = np.array(sorted(lines), np.int64)
+            sets = gram_sets([lines[i] for i in ids.tolist()])
+            x, y, n = np.searchsorted(ids, a), np.searchsorted(ids, b), np.array([len(g) for g in sets], np.int64)
+            both = overlap_counts(sets, x, y)
+            keep = both >= THRESHOLD * (n[x] + n[y] - both)
+            yield pa.record_batch([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], names=["a", "b"])
+
+
+#: What sizes and sketches of lines that link allow.
+NEAR = f"{THRESHOLD} * greatest(size_a, size_b) <= least(size_a, size_b) AND bit_count(low_a ^ low_b) + bit_count(high_a ^ high_b) <= {BINS - AGREE}"
 
 
 def line_components(df: DataFrame) -> DataFrame:
@@ -184,18 +217,20 @@ def line_components(df: DataFrame) -> DataFrame:
     fragments = max(partitions(df), -(-chars // 200 * BANDS // FRAGMENT))
     rows = df.mapInArrow(_band_rows(fragments), "frag int, buckets binary, ids binary").groupBy("frag").applyInArrow(_shared_buckets, "bucket long, id long")
     shared = saved(rows, "bands")
+    ids = saved(shared.groupBy("id").agg((-F.count("*")).alias("prio")), "ids")  # lines that share most are centres
+    texts = saved(df.mapInArrow(_line_texts, "id long, line string").join(bounded(ids.select("id")), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "lines")
+    sketches = saved(texts.mapInArrow(_sketches, "id long, size long, low long, high long").join(ids, "id"), "sketches")
+    # of equal lists of members one bucket stays
     signed = shared.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s1"), F.expr("bit_xor(xxhash64(id, 7))").alias("s2"))
     chosen = signed.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket")
-    buckets = saved(shared.join(chosen, "bucket", "left_semi").select("bucket", "id", F.lit(0).cast("long").alias("size")), "buckets")
-    ids = saved(shared.select("id").distinct(), "ids")
-    texts = saved(df.mapInArrow(_line_texts, "id long, line string").join(bounded(ids), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "lines")
-    drop(shared, ids)
+    buckets = saved(shared.join(chosen, "bucket", "left_semi").join(sketches, "id"), "buckets")
+    drop(shared, ids, sketches)
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
         return both.mapInArrow(_alike, "a long, b long")
 
-    out = resolve(buckets, verify)
+    out = resolve(buckets, verify, NEAR)
     drop(buckets, texts)
     return out
 
