@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from zonelight.llm import line_dedup, ngram_join
 from zonelight.llm._components import connected_components, resolve
@@ -175,3 +176,38 @@ def test_components_by_joins_equal_those_of_one_task(spark, monkeypatch):
     one = sorted(map(tuple, connected_components(frame).collect()))
     monkeypatch.setattr(_components, "ONE_TASK_LINKS", 0)
     assert sorted(map(tuple, connected_components(frame).collect())) == one
+
+
+def alike_lines(r, n, low, high):
+    """Pairs of random lines of low to high characters, the second with a character more, of likeness 0.8 or more."""
+    out = []
+    while len(out) < n:
+        a = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(low, high)))
+        b = a + r.choice("0123456789")
+        if line_dedup.jaccard(line_dedup.grams(a), line_dedup.grams(b)) >= line_dedup.THRESHOLD:
+            out.append((a, b))
+    return out
+
+
+def test_short_lines_that_share_a_band_all_link(spark):
+    """Lines of 4 to 16 grams against brute force: what the bands propose is lost by no later condition."""
+    r = random.Random(8)
+    pairs = alike_lines(r, 400, 8, 8) + alike_lines(r, 200, 9, 20)
+    x, y = (line_dedup.bands(line_dedup.signatures([p[k] for p in pairs])) for k in range(2))
+    proposed = [p for p, same in zip(pairs, (x == y).any(axis=1).tolist(), strict=True) if same]
+    assert len(proposed) > 580
+    frame = spark.createDataFrame([(i, "\n".join(p)) for i, p in enumerate(pairs)], "doc_id long, text string")
+    comp = {c["id"]: c["comp"] for c in line_dedup.line_components(frame).collect()}
+    of = lambda line: comp.get(line_dedup.line_id(line.encode()), line)
+    assert [p for p in proposed if of(p[0]) != of(p[1])] == []
+
+
+def test_parities_differ_in_no_more_bits_than_grams():
+    r = random.Random(9)
+    pairs = alike_lines(r, 100, 8, 40)
+    pairs += [(a, "".join(c if r.random() < 0.9 else "#" for c in a)) for a, _ in alike_lines(r, 100, 8, 900)] + [("ab", "abc"), ("aaaaaaaa", "aaaaaa")]
+    (n, x), (m, y) = (line_dedup.parities([p[k] for p in pairs]) for k in range(2))
+    differ = np.unpackbits((x ^ y).view(np.uint8), axis=1).sum(axis=1)
+    for k, (a, b) in enumerate(pairs):
+        g, h = line_dedup.grams(a), line_dedup.grams(b)
+        assert (n[k], m[k]) == (len(g), len(h)) and differ[k] <= len(g ^ h)

@@ -3,10 +3,10 @@
 Lines are what newlines separate, with ASCII white space trimmed and A-Z lower-cased; blank lines never
 count and always stay.  Equal lines are one class by 64-bit hash.  A line's character 5-gram set (a shorter
 line is one gram) gets a one-permutation MinHash signature with densified bins; lines that agree in one of
-``BANDS`` bands of ``ROWS`` values, and in enough bits of their sketches, are candidates (a pair of likeness 0.8
-is missed with odds below 1 %, one of 0.85 with 0.1 %), and those with exact Jaccard likeness of 0.8 or more
-link.  Components come from the distributed resolution in
-``_components``.  Of each component the occurrence with the least (doc_id, text hash, line number) stays.
+``BANDS`` bands of ``ROWS`` values are candidates (a pair of likeness 0.8 is missed with odds of about 1 %, one of
+0.85 with 0.1 %), and those with exact Jaccard likeness of 0.8 or more link.  Candidates whose sizes or parities
+rule that out are not compared; both bounds hold for every pair, so they lose no link.  Components come from the
+distributed resolution in ``_components``.  Of each component the occurrence with the least (doc_id, text hash, line number) stays.
 
 Defined results: null text counts as empty; a null id sorts first; rows with equal id and text are one
 document and treated alike; an empty table gives an empty result; other columns pass through, and ``n_chars``,
@@ -31,9 +31,8 @@ from .ngram_join import overlap_counts
 GRAM, ROWS, BANDS = 5, 6, 16
 THRESHOLD = 0.8
 BINS = 128
-#: Of the sketch of one bit for each bin, the bits in which candidates must agree: a pair of likeness 0.8 agrees in
-#: 115 on average, and in fewer than these with odds of 0.1 %.
-AGREE = 104
+#: 64-bit words of a line's parities: of the grams that hash to each bit, whether the number is odd.
+WORDS = 4
 FULL = np.uint64(2**64 - 1)
 FRAGMENT = 1_500_000
 SEED = 42  # of Spark's xxhash64
@@ -182,14 +181,21 @@ def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(list(lines), pa.int64()), pa.array(list(lines.values()), pa.string())], names=["id", "line"])
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number of distinct grams of each line, and one bit of each bin of its signature."""
+def parities(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of distinct grams of each line, and its WORDS words of parities."""
+    sets = gram_sets(lines)
+    sizes, bits = np.array([len(g) for g in sets], np.int64), 64 * WORDS
+    at = np.repeat(np.arange(len(sets)) * bits, sizes) + (np.concatenate(sets) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(at, minlength=len(sets) * bits).reshape(-1, bits) & 1
+    return sizes, np.packbits(odd.astype(bool), axis=1).view("<i8")
+
+
+def _sizes_parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 1024):
             part = batch.slice(lo, 1024)
-            lines = part.column("line").to_pylist()
-            bits = np.packbits((mix64(signatures(lines)) & np.uint64(1)).astype(bool), axis=1).view("<i8")
-            yield pa.record_batch([part.column("id"), pa.array([len(g) for g in gram_sets(lines)], pa.int64()), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())], names=["id", "size", "low", "high"])
+            sizes, words = parities(part.column("line").to_pylist())
+            yield pa.record_batch([part.column("id"), pa.array(sizes), *[pa.array(words[:, k].copy()) for k in range(WORDS)]], names=["id", "size", *PARITIES])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +213,10 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], names=["a", "b"])
 
 
-#: What sizes and sketches of lines that link allow.
-NEAR = f"{THRESHOLD} * greatest(size_a, size_b) <= least(size_a, size_b) AND bit_count(low_a ^ low_b) + bit_count(high_a ^ high_b) <= {BINS - AGREE}"
+PARITIES = [f"odd{k}" for k in range(WORDS)]
+#: What sizes and parities of lines that link allow: a bit in which parities differ takes a gram that only one line
+#: has, and lines of likeness 0.8 have at most a ninth of their summed sizes of those.
+NEAR = f"{THRESHOLD} * greatest(size_a, size_b) <= least(size_a, size_b) AND 9 * ({' + '.join(f'bit_count({x}_a ^ {x}_b)' for x in PARITIES)}) <= size_a + size_b"
 
 
 def line_components(df: DataFrame) -> DataFrame:
@@ -219,7 +227,7 @@ def line_components(df: DataFrame) -> DataFrame:
     shared = saved(rows, "bands")
     ids = saved(shared.groupBy("id").agg((-F.count("*")).alias("prio")), "ids")  # lines that share most are centres
     texts = saved(df.mapInArrow(_line_texts, "id long, line string").join(bounded(ids.select("id")), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "lines")
-    sketches = saved(texts.mapInArrow(_sketches, "id long, size long, low long, high long").join(ids, "id"), "sketches")
+    sketches = saved(texts.mapInArrow(_sizes_parities, "id long, size long, " + ", ".join(f"{x} long" for x in PARITIES)).join(ids, "id"), "sketches")
     # of equal lists of members one bucket stays
     signed = shared.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s1"), F.expr("bit_xor(xxhash64(id, 7))").alias("s2"))
     chosen = signed.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket")
