@@ -211,3 +211,18 @@ def test_parities_differ_in_no_more_bits_than_grams():
     for k, (a, b) in enumerate(pairs):
         g, h = line_dedup.grams(a), line_dedup.grams(b)
         assert (n[k], m[k]) == (len(g), len(h)) and differ[k] <= len(g ^ h)
+
+
+@pytest.mark.parametrize(("low", "high"), [(8, 8), (12, 20), (60, 90)])
+def test_bands_miss_few_lines_at_the_threshold(low, high):
+    """At most 0.18 % of 4,000 pairs at the threshold, what 12 bands of 4 values miss of long lines."""
+    r, pairs = random.Random(10), []
+    while len(pairs) < 4000:
+        a = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(low, high)))
+        b = a
+        while line_dedup.jaccard(line_dedup.grams(a), line_dedup.grams(longer := b + r.choice("0123456789"))) >= line_dedup.THRESHOLD:
+            b = longer
+        if a != b:
+            pairs.append((a, b))
+    x, y = (line_dedup.bands(line_dedup.signatures([p[k] for p in pairs])) for k in range(2))
+    assert (~(x == y).any(axis=1)).sum() <= 0.0018 * len(pairs)

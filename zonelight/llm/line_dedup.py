@@ -3,8 +3,8 @@
 Lines are what newlines separate, with ASCII white space trimmed and A-Z lower-cased; blank lines never
 count and always stay.  Equal lines are one class by 64-bit hash.  A line's character 5-gram set (a shorter
 line is one gram) gets a one-permutation MinHash signature with densified bins; lines that agree in one of
-``BANDS`` bands of ``ROWS`` values are candidates (a pair of likeness 0.8 is missed with odds of about 1 %, one of
-0.85 with 0.1 %), and those with exact Jaccard likeness of 0.8 or more link.  Candidates whose sizes or parities
+``BANDS`` bands of ``ROWS`` values are candidates (a pair of likeness 0.8 is missed with odds of 0.04 %, one of
+0.85 with 0.001 %), and those with exact Jaccard likeness of 0.8 or more link.  Candidates whose sizes or parities
 rule that out are not compared; both bounds hold for every pair, so they lose no link.  Components come from the
 distributed resolution in ``_components``.  Of each component the occurrence with the least (doc_id, text hash, line number) stays.
 
@@ -28,9 +28,9 @@ from ._components import resolve
 from ._text import bounded, documents, drop, mix64, partitions, saved
 from .ngram_join import overlap_counts
 
-GRAM, ROWS, BANDS = 5, 6, 16
+GRAM, ROWS, BANDS = 5, 5, 20
 THRESHOLD = 0.8
-BINS = 128
+BINS = ROWS * BANDS
 #: 64-bit words of a line's parities: of the grams that hash to each bit, whether the number is odd.
 WORDS = 4
 FULL = np.uint64(2**64 - 1)
@@ -99,7 +99,7 @@ def signatures(lines: list[str]) -> np.ndarray:
 
 def bands(sig: np.ndarray) -> np.ndarray:
     """A bucket for each line and band."""
-    parts = sig[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
+    parts = sig.reshape(-1, BANDS, ROWS)
     out = np.zeros(parts.shape[:2], np.uint64)
     for k in range(ROWS):
         out += parts[:, :, k] * _COEF[k + 8]
