@@ -226,3 +226,18 @@ def test_bands_miss_few_lines_at_the_threshold(low, high):
             pairs.append((a, b))
     x, y = (line_dedup.bands(line_dedup.signatures([p[k] for p in pairs])) for k in range(2))
     assert (~(x == y).any(axis=1)).sum() <= 0.0018 * len(pairs)
+
+
+def test_texts_that_share_an_id_are_all_compared(spark):
+    r = random.Random(12)
+    text = lambda: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(60))
+    a, b, c, d = (text() for _ in range(4))
+    near = b + " more"
+    rows = [(1, a), (2, b), (5, a), (5, near), (5, c), (5, c), (6, c + " more"), (7, d), (7, d + " more"), (8, ""), (8, " "), (None, a)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in ngram_join.components(frame).collect() if x["doc_id"] is not None)
+    assert got == [(1, 56, 1), (2, 56, 2), (5, 56, 1), (5, 56, 5), (5, 56, 5), (5, 57, 2), (6, 57, 5), (7, 56, 7), (7, 57, 7), (8, 0, 8), (8, 0, 8)]
+    kept = [tuple(x) for x in ngram_join.keep_one(frame).collect()]
+    seven = [x for x in kept if x[0] == 7]
+    assert len(seven) == 1 and seven[0] in rows
+    assert sorted(map(str, (x for x in kept if x[0] != 7))) == sorted(map(str, [(1, a), (2, b), (5, c), (5, c), (8, ""), (8, " "), (None, a)]))

@@ -15,7 +15,8 @@ counted in each fragment by itself and summed per pair, and the sum decides exac
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; fewer words than five are one shingle.
 Shingles are 64-bit hashes.  Defined results: null and empty texts have the empty set, link with nothing and
 are their own component; a null id takes part in nothing and is its own row with a null component; repeated
-rows appear as often as given; an empty table gives an empty result; other columns are not read.
+rows appear as often as given; where an id has several texts, each text is compared and has its own component,
+named by the least id that it reaches, so components of unlike texts of one id can bear the same name; an empty table gives an empty result; other columns are not read.
 A fragment holds about ``FRAGMENT`` hashes, so a group fits a worker at any input size; a shingle adds one
 entry to its group for each class that has it.
 """
@@ -247,6 +248,8 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = given.where("doc_id IS NOT NULL")
     count = rows.agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("d"), F.sum(F.length("text")).alias("chars")).first()
     if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        if _clashing(rows):
+            return _by_text(rows).select("doc_id", "n_shingles", "component_id").union(_nameless(given))
         rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
     fragments = max(partitions(df), -(-(count["chars"] or 0) // 6 // FRAGMENT))
 
@@ -286,8 +289,31 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     per_doc = copies.union(sizes.select("doc_id", F.col("doc_id").alias("rep"))).join(by_rep, "rep").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
     if count["n"] != per_doc.count():
         per_doc = given.where("doc_id IS NOT NULL").select("doc_id").join(per_doc, "doc_id")
+    return per_doc.union(_nameless(given))
+
+
+def _nameless(given: DataFrame) -> DataFrame:
     nameless = given.where("doc_id IS NULL").mapInArrow(_packed, "id long, size long, digest binary, shingles binary")
-    return per_doc.union(nameless.select("id", "size", F.lit(None).cast("long")))
+    return nameless.select("id", "size", F.lit(None).cast("long"))
+
+
+def _clashing(rows: DataFrame) -> bool:
+    """Whether an id has texts that differ."""
+    tkey = F.xxhash64("text")
+    return rows.groupBy("doc_id").agg(F.min(tkey).alias("lo"), F.max(tkey).alias("hi")).where("lo != hi").limit(1).count() > 0
+
+
+def _by_text(rows: DataFrame) -> DataFrame:
+    """Components of rows whose ids have several texts: distinct texts link, by their hash as id.
+
+    doc_id, tkey (xxhash64 of the text), n_shingles, component_id and first, the least (doc_id, tkey) of the
+    component, of every row; first is null where there are no shingles.
+    """
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
+    found = saved(components(keyed.groupBy("tkey").agg(F.min("text").alias("text")), "tkey").toDF("tkey", "n_shingles", "comp"), "by_text")
+    marked = keyed.select("doc_id", "tkey").join(found, "tkey").withColumn("comp", F.expr("IF(n_shingles > 0, comp, NULL)"))
+    least = marked.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct("doc_id", "tkey")).alias("first"))
+    return marked.join(least, "comp", "left").select("doc_id", "tkey", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), "first")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +326,15 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df whose id is the least of its component; rows without an id stay."""
+    """The rows of df whose id is the least of its component; rows without an id stay.
+
+    Where an id has several texts, the rows of the component's least (id, text hash) stay.
+    """
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    if _clashing(rows):
+        gone = saved(_by_text(rows).where("struct(doc_id, tkey) != first").select(F.col("doc_id").alias("doc"), "tkey").distinct(), "gone")
+        whole = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("key"))
+        return whole.join(bounded(gone), (F.col("id") == F.col("doc")) & (F.col("key") == F.col("tkey")), "left_anti").select("row.*")
     gone = saved(components(df, id_col, text_col).where("component_id != doc_id").select(F.col("doc_id").alias("doc")).distinct(), "gone")
     whole = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).cast("long").alias("id"))
     return whole.join(bounded(gone), F.col("id") == F.col("doc"), "left_anti").select("row.*")
