@@ -55,3 +55,18 @@ def test_entry_point_works_without_the_optional_folder():
     for f in (root / "zonelight").rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert not re.search(r"\bllm\b", f.read_text(encoding="utf-8")), f
+
+
+@pytest.mark.parametrize("name", ["contract_replay", "json_front", "fqn", "zone_join", "zone_cte"])
+def test_whole_tables_are_read(spark, duck, name):
+    """Beside each query over a range of ids there is one over all rows."""
+    sql = catalogue.oracle_sql()[f"{name}_whole"]
+    assert "WHERE" not in sql and "LIMIT" not in sql
+    got = catalogue.queries()[f"{name}_whole"](spark, SF).agg({"n" if name != "zone_cte" else "top": "sum" if name != "zone_cte" else "max"}).first()[0]
+    want = {"zone_join": "SELECT count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey", "zone_cte": "SELECT max(event_id) FROM events"}.get(name, "SELECT count(*) FROM events")
+    assert got == duck.sql(want).fetchall()[0][0]
+
+
+def test_default_limit_cuts_ordered_rows(spark, duck):
+    got = [x["event_id"] for x in catalogue.queries()["auto_limit_whole"](spark, SF).collect()]
+    assert got == [x for (x,) in duck.sql("SELECT event_id FROM events ORDER BY event_id").fetchall()][:100] and len(got) == 100

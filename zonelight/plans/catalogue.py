@@ -126,6 +126,12 @@ def contract_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.run_contract(s.sql_to_contract("SELECT event_id, value FROM main.default.events WHERE event_id BETWEEN 100 AND 140 ORDER BY event_id")).df
 
 
+def contract_replay_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement over all events recorded and run again from its record."""
+    s = session(spark, sf_dir)
+    return s.run_contract(s.sql_to_contract("SELECT event_type, count(*) AS n, max(event_id) AS top FROM main.default.events GROUP BY event_type ORDER BY event_type")).df
+
+
 # -- functions -----------------------------------------------------------------------------------------
 
 
@@ -159,6 +165,8 @@ FRONT = {
     "auto_limit": "SELECT event_id FROM (SELECT event_id FROM events ORDER BY event_id LIMIT 90) t",
     "zone_self_join": "SELECT a.event_id AS x, b.event_id AS y FROM events a FULL JOIN events b ON a.event_id = b.event_id AND a.event_id = 500 AND b.event_id = 500 WHERE a.event_id = 500 OR b.event_id = 700",
     "zone_join": "SELECT o.o_orderkey, count(*) AS n, sum(l.l_quantity) AS quantity FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE o.o_orderkey BETWEEN 100 AND 160 GROUP BY o.o_orderkey",
+    "zone_join_whole": "SELECT count(DISTINCT o.o_orderkey) AS orders, count(*) AS n, sum(l.l_quantity) AS quantity FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey",
+    "zone_cte_whole": "WITH e AS (SELECT user_id, count(*) AS n, max(event_id) AS top FROM events GROUP BY user_id) SELECT count(*) AS users, max(n) AS most, max(top) AS top FROM e",
     "zone_cte": "WITH e AS (SELECT event_id, value FROM events WHERE event_id < 200) SELECT count(*) AS n, max(event_id) AS top FROM e WHERE event_id >= 150",
 }
 # name: SQL of both engines over plain views
@@ -212,6 +220,9 @@ PLAIN = {
 # name: (Spark SQL, DuckDB SQL) where the two spell a thing differently
 TWO = {
     "json_front": ("SELECT event_id, get_json_object(props, '$[\"k\"]') AS k FROM main.default.events WHERE event_id < 50", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_id < 50"),
+    "json_front_whole": ("SELECT count(*) AS n, count(k) AS found, count(DISTINCT k) AS kinds, min(k) AS low, max(k) AS high FROM (SELECT get_json_object(props, '$[\"k\"]') AS k FROM main.default.events) t", "SELECT count(*) AS n, count(k) AS found, count(DISTINCT k) AS kinds, min(k) AS low, max(k) AS high FROM (SELECT json_extract_string(props, '$.k') AS k FROM events) t"),
+    "auto_limit_whole": ("SELECT event_id FROM events ORDER BY event_id", "SELECT event_id FROM events ORDER BY event_id LIMIT 100"),
+    "fqn_whole": ("SELECT count(*) AS n, count(DISTINCT events.user_id) AS users, max(e.event_id) AS top FROM main.default.events AS e JOIN a.b.events ON e.event_id = events.event_id", "SELECT count(*) AS n, count(DISTINCT user_id) AS users, max(event_id) AS top FROM events"),
     "approx_front": ("SELECT abs(approx_distinct(user_id) - count(DISTINCT user_id)) <= 0.1 * count(DISTINCT user_id) AS close FROM cat.sch.events", "SELECT true AS close"),
     "fqn": ("SELECT e.event_id, events.user_id FROM main.default.events AS e JOIN a.b.events ON e.event_id = events.event_id WHERE e.event_id < 25", "SELECT event_id, user_id FROM events WHERE event_id < 25"),
 }
@@ -251,6 +262,7 @@ OWN: dict[str, tuple[Query, str]] = {
     "exact_groups": (exact_groups, "SELECT event_id, user_id, value FROM events WHERE user_id = 7"),
     "memory_zones": (memory_zones, "SELECT event_id, user_id FROM events, (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events) b WHERE event_id >= lo + 3 * ((hi - lo) // 4 + 1)"),
     "contract_replay": (contract_replay, "SELECT event_id, value FROM events WHERE event_id BETWEEN 100 AND 140"),
+    "contract_replay_whole": (contract_replay_whole, "SELECT event_type, count(*) AS n, max(event_id) AS top FROM events GROUP BY event_type"),
     "json_paths": (json_paths, "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k') AS quoted, CAST(NULL AS VARCHAR) AS missing FROM events"),
     "approx_distinct": (approx_distinct, "SELECT true AS close"),
     "union_files": (union_files, "SELECT event_type, 2 * count(*) AS n FROM events GROUP BY event_type"),
