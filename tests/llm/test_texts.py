@@ -425,3 +425,13 @@ def test_next_documents(docs, rows, empty, spark):
 
 def test_schema_of_helpers():
     assert json.dumps(SCHEMA)
+
+
+@pytest.mark.parametrize("snippet", ["PASSWORD=x7Kq9!vB2m", "SECRET = 8fQz1#Lp0w", "API_KEY=t5Rw8n3Yc1Z", '{"password": "x7Kq9!vB2m"}', '{"API_KEY":"t5Rw8n3Yc1Z"}'])
+def test_secrets_after_key_words_of_any_case_and_in_json(spark, judge, snippet):
+    """Values under 16 characters, which the token generator doesn't propose."""
+    text = f"the ou {snippet} en der"
+    got = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"), "text", judge).first()["_added"]
+    assert ["secret"] == [c["kind"] for c in got]
+    value = snippet.rstrip('"}').lstrip('{"')
+    assert text[got[0]["start"] : got[0]["end"]] == value

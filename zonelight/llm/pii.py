@@ -35,7 +35,7 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "secret": r"(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[^ \t\r\n\"']{4,}+",
+    "secret": r"(?i:password|passwd|secret|token|api[_-]?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?[^ \t\r\n\"']{4,}+",
     "token": r"\b(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{16,}+",
     "number": r"(?:(?<![0-9A-Za-z])|\G)[(]?[0-9](?:[ ().-]{0,2}[0-9]){6,}+",
     "contact": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[A-Za-z0-9-]++)++",
@@ -53,7 +53,7 @@ FEATURES = {
     "luhn": "int(luhn_check(regexp_replace(c.value, '[^0-9]', '')))",
     "hex": "int(c.value rlike '^[0-9a-f]+$')",
     "groups": "size(split(c.value, '[^0-9A-Za-z]+'))",
-    "keyed": "int(c.value rlike '^(?:[Pp]ass|[Ss]ecret|[Tt]oken|[Aa]pi)')",
+    "keyed": "int(c.value rlike '^(?i:pass|secret|token|api)')",
     "valued": "length(regexp_extract(c.value, '[=:][^A-Za-z0-9]*(.*)$', 1))",
     "asked": "int(lower(c.before) rlike '(?:tel|phone|call|mobile|fax|ssn|id)[^a-z]*$')",
     "told": "int(lower(c.before) rlike '(?:key|secret|token|password|bearer)[^a-z]*$')",
@@ -110,9 +110,10 @@ def training_rows(n: int = TRAIN_ROWS, seed: int = 7) -> list[tuple[int, str, in
         k, yes = r.randrange(4), r.random() < 0.5
         lead, tail = " ".join(word() for _ in range(3)), " " + word() + "."
         if k == 0:
-            name = r.choice(["password", "Password", "token", "secret", "api_key"])
+            name = r.choice(["password", "Password", "token", "secret", "api_key", "PASSWORD", "SECRET", "API_KEY"])
             value = pick(hexes, r.choice([18, 16, 32, 40])) if r.random() < 0.6 else pick(string.ascii_letters + digits + "!#%", r.randint(8, 24))
-            body = f"{name}{r.choice(['=', ' = ', ': ', '='])}{r.choice(['', chr(34)])}{value}" if yes else f"{name}{r.choice([': ', ' = ', '='])}{r.choice([word() + word(), 'none', 'true', 'null', 'required', word() + 'ing'])}"
+            name, quoted = (f'"{name}"', True) if r.random() < 0.25 else (name, False)  # a key of JSON
+            body = f"{name}{r.choice([': ', ':'] if quoted else ['=', ' = ', ': ', '='])}{chr(34) if quoted else r.choice(['', chr(34)])}{value}" if yes else f"{name}{': ' + chr(34) if quoted else r.choice([': ', ' = ', '='])}{r.choice([word() + word(), 'none', 'true', 'null', 'required', word() + 'ing'])}"
         elif k == 1:
             if yes:
                 body = r.choice([lambda: "AKIA" + pick(string.ascii_uppercase + digits, 16), lambda: pick(hexes, r.choice([32, 40, 64])), lambda: pick(string.ascii_letters + digits, r.randint(24, 48)), lambda: "sk_" + pick(string.ascii_letters + digits, 24)])()
