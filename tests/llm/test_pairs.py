@@ -167,15 +167,19 @@ def test_bands_find_alike_lines(likeness, least):
     assert (x == y).any(axis=1).mean() >= least
 
 
-def test_components_by_joins_equal_those_of_one_task(spark, monkeypatch):
+def test_components_of_links_dealt_to_many_tasks(spark, monkeypatch):
+    """Union-find in small blocks of many tasks, with a path, a hub and random links that cross them."""
     from zonelight.llm import _components
 
     r = random.Random(9)
     pairs = [(i, i + 1) for i in range(70)] + [(r.randint(100, 300), r.randint(100, 300)) for _ in range(150)] + [(5000, 5000 + i) for i in range(1, 30)]
-    frame = spark.createDataFrame(pairs, "a long, b long")
-    one = sorted(map(tuple, connected_components(frame).collect()))
-    monkeypatch.setattr(_components, "ONE_TASK_LINKS", 0)
-    assert sorted(map(tuple, connected_components(frame).collect())) == one
+    r.shuffle(pairs)
+    want = Sets()
+    for a, b in pairs:
+        want.join(a, b)
+    monkeypatch.setattr(_components, "BLOCK_LINKS", 4)
+    got = connected_components(spark.createDataFrame(pairs, "a long, b long").repartition(7)).collect()
+    assert sorted(map(tuple, got)) == sorted((i, want.find(i)) for i in want.up)
 
 
 def alike_lines(r, n, low, high):
@@ -202,15 +206,79 @@ def test_short_lines_that_share_a_band_all_link(spark):
     assert [p for p in proposed if of(p[0]) != of(p[1])] == []
 
 
-def test_parities_differ_in_no_more_bits_than_grams():
-    r = random.Random(9)
-    pairs = alike_lines(r, 100, 8, 40)
-    pairs += [(a, "".join(c if r.random() < 0.9 else "#" for c in a)) for a, _ in alike_lines(r, 100, 8, 900)] + [("ab", "abc"), ("aaaaaaaa", "aaaaaa")]
-    (n, x), (m, y) = (line_dedup.parities([p[k] for p in pairs]) for k in range(2))
-    differ = np.unpackbits((x ^ y).view(np.uint8), axis=1).sum(axis=1)
-    for k, (a, b) in enumerate(pairs):
-        g, h = line_dedup.grams(a), line_dedup.grams(b)
-        assert (n[k], m[k]) == (len(g), len(h)) and differ[k] <= len(g ^ h)
+@pytest.mark.parametrize("kind", ["ends", "words"])
+def test_groups_of_any_size_give_the_same_components(spark, kind):
+    """Buckets cut into chunks of five lines against whole ones and brute force, over lines that link in chains."""
+    r = random.Random(21)
+    base = ["".join(r.choice("abcdefghijklmnop") for _ in range(60)) for _ in range(3)]
+    lines = set()
+    for x in base:
+        for _ in range(40):
+            if kind == "ends":
+                lines.add(x[: r.randint(44, 60)] + "".join(r.choice("xyz") for _ in range(r.randint(0, 8))))
+            else:
+                y = list(x)
+                for k in range(r.randint(0, 3)):
+                    y[r.randrange(60)] = r.choice("QRSTU")
+                lines.add("".join(y).lower())
+    lines = sorted(lines)
+    sets, want = {x: line_dedup.grams(x) for x in lines}, Sets()
+    for k, a in enumerate(lines):
+        for b in lines[k + 1 :]:
+            if line_dedup.jaccard(sets[a], sets[b]) >= line_dedup.THRESHOLD:
+                want.join(a, b)
+    frame = spark.createDataFrame([(i, "\n".join(lines[i::9])) for i in range(9)], "doc_id long, text string")
+    truth = {tuple(sorted(line_dedup.line_id(x.encode()) for x in lines if want.find(x) == top)) for top in {want.find(x) for x in lines}}
+    truth = {g for g in truth if len(g) > 1}
+    for size in ({}, {"group_lines": 5, "group_chars": 10**6}, {"group_lines": 10**6, "group_chars": 400}):
+        groups = {}
+        for c in line_dedup.line_components(frame, **size).collect():
+            groups.setdefault(c["comp"], []).append(c["id"])
+        assert {tuple(sorted(g)) for g in groups.values() if len(g) > 1} == truth, size
+    assert len(truth) > 2
+
+
+def test_group_links_span_what_brute_force_finds():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.choice(60, 40)).astype(np.uint64) for _ in range(50)]
+    sets += [np.unique(np.concatenate([s[2:], r.choice(200, 3).astype(np.uint64)])) for s in sets[:30]]
+    n = len(sets)
+    bucket = np.concatenate([np.zeros(n, np.int64), np.ones(n, np.int64)])  # twice the same members
+    line = np.concatenate([np.arange(n), np.arange(n)[::-1]])
+    links = line_dedup.group_links(sets, bucket, line, r.permutation(n), np.arange(n), np.ones(n, bool))
+    got, want = Sets(), Sets()
+    for x in range(n):
+        for y in range(x):
+            if line_dedup.jaccard(set(sets[x].tolist()), set(sets[y].tolist())) >= 0.8:
+                want.join(x, y)
+    for x, y in links:
+        assert line_dedup.jaccard(set(sets[x].tolist()), set(sets[y].tolist())) >= 0.8
+        got.join(x, y)
+    assert all(got.find(i) == want.find(i) for i in range(n)) and len(links) < n
+
+
+def test_signature_memory_is_bounded_on_short_lines():
+    """A million characters in lines of eight: what the kernel holds is bounded by lines of a pass, not by characters."""
+    import tracemalloc
+
+    r = random.Random(13)
+    lines = ["".join(r.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(20_000)]
+    tracemalloc.start()
+    for lo in range(0, len(lines), line_dedup.PASS_LINES):
+        line_dedup.bands(line_dedup.signatures(lines[lo : lo + line_dedup.PASS_LINES]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+
+
+def test_long_lines_are_hashed_in_overlapping_pieces(monkeypatch):
+    r = random.Random(14)
+    lines = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in (3, 1000, 40, 2503, 5, 996)]
+    whole, sets = line_dedup.signatures(lines), line_dedup.gram_sets(lines)
+    monkeypatch.setattr(line_dedup, "PASS_CHARS", 100)
+    assert (line_dedup.signatures(lines) == whole).all()
+    assert all((a == b).all() for a, b in zip(line_dedup.gram_sets(lines), sets, strict=True))
+    assert [len(s) for s in sets] == [len(line_dedup.grams(x)) for x in lines]
 
 
 @pytest.mark.parametrize(("low", "high"), [(8, 8), (12, 20), (60, 90)])

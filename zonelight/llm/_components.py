@@ -15,15 +15,25 @@ from pyspark.sql import functions as F
 
 from ._text import drop, saved
 
+#: Links that a task unites at once (16 bytes each).
+BLOCK_LINKS = 1_000_000
 
-#: Links up to which one task finds the components (16 bytes each); beyond it they are found by joins.
-ONE_TASK_LINKS = 1_000_000
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v): each id of a block of links with the least id that the block's links reach."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        parts.append((batch.column("u").to_numpy(), batch.column("v").to_numpy()))
+        if sum(len(p[0]) for p in parts) >= BLOCK_LINKS:
+            yield _stars(parts)
+            parts = []
+    if parts:
+        yield _stars(parts)
 
-def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Components of all links of a partition, by pointer jumping over arrays."""
-    parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
-    u, v = (np.concatenate([np.zeros(0, np.int64), *[p[k] for p in parts]]) for k in range(2))
+
+def _stars(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Union-find by pointer jumping over arrays."""
+    u, v = (np.concatenate([p[k] for p in parts]) for k in range(2))
     ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     u, v = at[: len(u)], at[len(u) :]
     root = np.arange(len(ids))
@@ -34,39 +44,36 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
         while (root[root] != root).any():
             root = root[root]
-    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(ids[root], pa.int64())], names=["id", "comp"])
+    return pa.record_batch([pa.array(ids, pa.int64()), pa.array(ids[root], pa.int64())], names=["u", "v"])
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each id has one edge down to an id that has none: then that is the least of its component."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select(F.col("v").alias("id"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR down + up > 1").isEmpty()
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, comp) of every id in links (a long, b long): comp is the least id that links reach.
 
-    Up to ONE_TASK_LINKS distinct links one task unites them; more go through joins:
-    Alternating large-star and small-star steps.  A node's least neighbour comes from a partial
+    Distributed union-find: each task unites its own links, block by block, into stars; alternating large-star and
+    small-star steps unite the stars of all tasks.  A node's least neighbour comes from a partial
     aggregation and goes back by a join that Spark splits where a node is hot, so no task gathers a
     node's neighbours.  Self links keep an id alone.  Null ends are ignored.
     """
-    edges = saved(links.where("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    if edges.count() <= ONE_TASK_LINKS:
-        out = saved(edges.coalesce(1).mapInArrow(_union_find, "id long, comp long"), "components")
-        drop(edges)
-        return out
-    ids = edges
-    seen = None
-    while True:
+    whole = links.where("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    ids = saved(whole.mapInArrow(_united, "u long, v long").distinct(), "edges")
+    edges = saved(ids.where("u != v"), "edges")
+    while not _are_stars(edges):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u != v").union(low.select("u", F.col("m").alias("v")))
         step = saved(small.distinct(), "edges")
-        state = step.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if edges is not ids:
-            drop(edges)
+        drop(edges)
         edges = step
-        if state == seen:
-            break
-        seen = state
-    labels = ids.select(F.col("u").alias("id")).union(ids.select(F.col("v").alias("id"))).distinct()
+    labels = ids.select(F.col("u").alias("id")).distinct()
     out = saved(labels.join(edges.select(F.col("u").alias("id"), F.col("v").alias("m")), "id", "left").select("id", F.coalesce("m", "id").alias("comp")), "components")
     drop(ids, edges)
     return out

@@ -8,6 +8,7 @@ white space or at the end of a text.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -225,10 +226,13 @@ class WordCache:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder, as a URI or path, that driver and executors share: below spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary folder takes its place.
+    Where the session names none, a temporary folder takes its place on one machine; on a cluster that is an error,
+    as no other machine would see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="zonelight-")
         shared_dir.own = base
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -258,13 +262,26 @@ def remove(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-#: Rows up to which a table of ids (and little else) is sent to all executors.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a table is sent to all executors, by an estimate from its rows.
+BROADCAST_BYTES = 32_000_000
+
+
+def _bytes_of(column: str, kind: str):  # noqa: ANN202
+    """About the bytes that a value takes in a row or a hash table."""
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if kind.startswith("array<"):
+        return F.coalesce(F.greatest(F.size(column), F.lit(0)), F.lit(0)) * 8 + 24
+    return F.lit(8)
 
 
 def bounded(table: DataFrame) -> DataFrame:
-    """A table for a join: marked for broadcast if it has at most BROADCAST_ROWS rows, else as it is (a shuffled join)."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    """A table for a join: marked for broadcast if it takes at most BROADCAST_BYTES, else as it is (a shuffled join)."""
+    row = F.lit(24)
+    for column, kind in table.dtypes:
+        row = row + _bytes_of(column, kind)
+    size = table.agg(F.sum(row.cast("long")).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,19 @@
 Lines are what newlines separate, with ASCII white space trimmed and A-Z lower-cased; blank lines never
 count and always stay.  Equal lines are one class by 64-bit hash.  A line's character 5-gram set (a shorter
 line is one gram) gets a one-permutation MinHash signature with densified bins; lines that agree in one of
-``BANDS`` bands of ``ROWS`` values are candidates (a pair of likeness 0.8 is missed with odds of 0.04 %, one of
-0.85 with 0.001 %), and those with exact Jaccard likeness of 0.8 or more link.  Candidates whose sizes or parities
-rule that out are not compared; both bounds hold for every pair, so they lose no link.  Components come from the
-distributed resolution in ``_components``.  Of each component the occurrence with the least (doc_id, text hash, line number) stays.
+``BANDS`` bands of ``ROWS`` values share a bucket (a pair of likeness 0.8 is missed with odds of 0.033 %, one of
+0.85 with 0.0006 %; seven values a band keep lines that only share common syllables apart, whose number of
+chance meetings grows with the square of a corpus).  Members of a bucket with exact Jaccard likeness of 0.8 or
+more link.  Of each component the occurrence with the least (doc_id, text hash, line number) stays.
+
+1. Each task hashes each line it meets once and deals (bucket, line) to fragments of the hash space; buckets of two
+   lines or more remain, and of buckets with the same members one.
+2. Buckets go to groups of about ``GROUP_CHARS`` characters of member lines, near copies to the same group.  A
+   group compares the members of each bucket that no link joins yet, line against all others at once, and emits links that
+   span its components: at most one fewer than members, never all pairs.
+3. A bucket above a group's size is cut into chunks, its centre (the line in most buckets) in each of them.  Once the
+   links are united, what the centre's component doesn't hold meets all other chunks; the rest needs no comparison.
+4. Components come from the distributed union-find in ``_components``.
 
 Defined results: null text counts as empty; a null id sorts first; rows with equal id and text are one
 document and treated alike; an empty table gives an empty result; other columns pass through, and ``n_chars``,
@@ -24,20 +33,38 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._components import resolve
+from ._components import connected_components
 from ._text import bounded, documents, drop, mix64, partitions, saved
-from .ngram_join import overlap_counts
 
-GRAM, ROWS, BANDS = 5, 5, 20
-THRESHOLD = 0.8
+GRAM, ROWS, BANDS = 5, 7, 34
+#: Likeness from which lines link, in parts.
+NUM, DEN = 4, 5
+THRESHOLD = NUM / DEN
 BINS = ROWS * BANDS
-#: 64-bit words of a line's parities: of the grams that hash to each bit, whether the number is odd.
-WORDS = 4
 FULL = np.uint64(2**64 - 1)
 FRAGMENT = 1_500_000
+#: Characters and lines of one pass of the signature kernel; a longer line is cut with an overlap.
+PASS_CHARS, PASS_LINES = 250_000, 2000
+#: Full bins below which a line's empty bins are filled from a table instead of by probing.
+FEW = 64
+#: Characters and members of a group of buckets.
+GROUP_CHARS, GROUP_LINES = 2_000_000, 4096
+#: Lines that a task remembers so as not to hash them again; beyond it starts anew.
+SEEN = 200_000
 SEED = 42  # of Spark's xxhash64
 _COEF = mix64(np.arange(1, 129, dtype=np.uint64)) | np.uint64(1)
-_PROBES = (mix64(np.arange(BINS * 256, dtype=np.uint64)) % np.uint64(BINS)).astype(np.int64).reshape(BINS, 256)
+
+
+def _probe_order() -> np.ndarray:
+    """For each bin an order of all bins, itself first: where it looks for a value if it is empty."""
+    keys = mix64(np.arange(BINS * BINS, dtype=np.uint64)).reshape(BINS, BINS)
+    keys[np.arange(BINS), np.arange(BINS)] = 0
+    return np.argsort(keys, axis=1).astype(np.int64)
+
+
+_PROBES = _probe_order()
+#: [full bin, bin that looks]: place of the first in the other's order, and the full bin.
+_PLACES = (np.argsort(_PROBES, axis=1).T.astype(np.uint32) << np.uint32(16)) | np.arange(BINS, dtype=np.uint32)[:, None]
 
 
 def normal(line: bytes) -> bytes:
@@ -69,32 +96,75 @@ def _gram_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h += codes[k : k + size] * _COEF[k]
     row = np.repeat(np.arange(len(lines)), lens)[:size]
     inside = np.arange(size) <= np.repeat(np.cumsum(lens) - GRAM, lens)[:size]
-    return mix64(h)[inside], row[inside]
+    return mix64(h[inside]), row[inside]
+
+
+def _passes(lines: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Consecutive lines of bounded number and size, and the number of the first; a long line comes in overlapping pieces."""
+    lo = 0
+    while lo < len(lines):
+        if len(lines[lo]) > PASS_CHARS:
+            step = PASS_CHARS - GRAM + 1
+            for at in range(0, len(lines[lo]) - GRAM + 1, step):
+                yield lo, [lines[lo][at : at + PASS_CHARS]]
+            lo += 1
+            continue
+        hi, size = lo, 0
+        while hi < len(lines) and hi - lo < PASS_LINES and (size := size + len(lines[hi])) <= PASS_CHARS:
+            hi += 1
+        yield lo, lines[lo:hi]
+        lo = hi
 
 
 def gram_sets(lines: list[str]) -> list[np.ndarray]:
     """Ascending distinct gram hashes of each line."""
-    h, row = _gram_hashes(lines)
-    cuts = np.searchsorted(row, np.arange(len(lines) + 1)).tolist()
-    return [np.unique(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    parts: list[list[np.ndarray]] = [[] for _ in lines]
+    for first, some in _passes(lines):
+        h, row = _gram_hashes(some)
+        cuts = np.searchsorted(row, np.arange(len(some) + 1)).tolist()
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            s = np.sort(h[a:b])
+            parts[first + k].append(s[np.concatenate(([True], s[1:] != s[:-1]))])
+    return [p[0] if len(p) == 1 else np.unique(np.concatenate(p)) for p in parts]
 
 
 def signatures(lines: list[str]) -> np.ndarray:
-    """One-permutation MinHash of each line's character grams, a row of BINS values each, without empty bins."""
-    h, row = _gram_hashes(lines)
-    sig = np.full(len(lines) * BINS, FULL, np.uint64)
-    which = ((h >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
-    np.minimum.at(sig, row * BINS + which, mix64(h))
-    sig = sig.reshape(-1, BINS)
+    """One-permutation MinHash of each line's character grams, a row of BINS values each, without empty bins.
+
+    An empty bin takes the value of the first full one in its own order of bins.
+    """
+    sig = np.full((len(lines), BINS), FULL, np.uint64)
+    flat = sig.reshape(-1)
+    for first, some in _passes(lines):
+        h, row = _gram_hashes(some)
+        which = ((h >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+        np.minimum.at(flat, (row + first) * BINS + which, h)
+        if len(lines[first]) <= PASS_CHARS:
+            _fill(sig[first : first + len(some)])
+    for k, x in enumerate(lines):
+        if len(x) > PASS_CHARS:
+            _fill(sig[k : k + 1])
+    return sig
+
+
+def _fill(sig: np.ndarray) -> None:
+    """Give the empty bins of each row their values, in place."""
     full = sig != FULL
-    r, c = np.nonzero(~full)
-    base, t = sig.copy(), 0
+    count = full.sum(axis=1)
+    r, c = np.nonzero(~full & (count >= FEW)[:, None])
+    base, t = sig.copy(), 1
     while len(r):
-        probe = _PROBES[c, t % 256] if t < 256 else (_PROBES[c, t % 256] + t // 256) % BINS
+        probe = _PROBES[c, t]
         ok = full[r, probe]
         sig[r[ok], c[ok]] = base[r[ok], probe[ok]]
         r, c, t = r[~ok], c[~ok], t + 1
-    return sig
+    few = np.flatnonzero(count < FEW)
+    for lo in range(0, len(few), 256):
+        some = few[lo : lo + 256]
+        at, bins = np.nonzero(full[some])
+        starts = np.searchsorted(at, np.arange(len(some)))
+        nearest = np.minimum.reduceat(_PLACES[bins], starts, axis=0) & np.uint32(0xFFFF)
+        sig[some] = np.take_along_axis(base[some], nearest.astype(np.int64), axis=1)
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
@@ -128,139 +198,231 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(lines, pa.int64())], names=["doc_id", "tkey", "line_no", "line_id"])
 
 
-def _distinct_lines(batch: pa.RecordBatch) -> dict[int, str]:
-    return {line_id(x): x.decode() for t in batch.column("text").to_pylist() for x in {normal(y) for y in t.encode().split(b"\n")} if x}
+def _new_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, str]]:
+    """The lines of each piece by id, without those that a task has met among its last SEEN lines."""
+    seen: set[int] = set()
+    for batch in _batches(batches):
+        lines = {line_id(x): x for t in batch.column("text").to_pylist() for x in {normal(y) for y in t.encode().split(b"\n")} if x}
+        new = {k: x.decode() for k, x in lines.items() if k not in seen}
+        if len(seen) > SEEN:
+            seen.clear()
+        seen.update(new)
+        if new:
+            yield new
 
 
 def _band_rows(fragments: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _batches(batches):
-            lines = _distinct_lines(batch)
-            if not lines:
-                continue
+        for lines in _new_lines(batches):
             ids, texts = np.array(list(lines), np.int64), list(lines.values())
-            sig, lo = [], 0
-            while lo < len(texts):  # by about a million characters
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 1_000_000):
-                    size += len(texts[hi])
-                    hi += 1
-                sig.append(bands(signatures(texts[lo:hi])))
-                lo = hi
-            bucket = np.concatenate(sig).reshape(-1)
-            owner = np.repeat(ids, BANDS)
-            frag = (bucket >> np.uint64(32)).astype(np.int64) * fragments >> 32
-            order = np.argsort(frag, kind="stable")
-            cuts = np.searchsorted(frag[order], np.arange(fragments + 1))
-            full = [f for f in range(fragments) if cuts[f] < cuts[f + 1]]
-            parts = [order[cuts[f] : cuts[f + 1]] for f in full]
-            yield pa.record_batch([pa.array(full, pa.int32()), pa.array([bucket[p].tobytes() for p in parts], pa.binary()), pa.array([owner[p].tobytes() for p in parts], pa.binary())], names=["frag", "buckets", "ids"])
+            for lo in range(0, len(texts), 4 * PASS_LINES):
+                some = texts[lo : lo + 4 * PASS_LINES]
+                bucket = np.concatenate([bands(signatures(some[k : k + PASS_LINES])) for k in range(0, len(some), PASS_LINES)]).reshape(-1)
+                owner = np.repeat(ids[lo : lo + len(some)].view(np.uint64) >> np.uint64(24), BANDS).view(np.uint8).reshape(-1, 8)[:, :5]
+                frag = (bucket >> np.uint64(32)).astype(np.int64) * fragments >> 32
+                order = np.argsort(frag, kind="stable")
+                cuts = np.searchsorted(frag[order], np.arange(fragments + 1))
+                full = np.flatnonzero(np.diff(cuts)).tolist()
+                parts = [order[cuts[f] : cuts[f + 1]] for f in full]
+                low = bucket.astype("<u4")
+                yield pa.record_batch([pa.array(full, pa.int32()), pa.array([low[p].tobytes() for p in parts], pa.binary()), pa.array([owner[p].tobytes() for p in parts], pa.binary())], names=["frag", "buckets", "ids"])
 
     return run
 
 
 def _shared_buckets(table: pa.Table) -> pa.Table:
-    """(bucket, id) of the buckets that hold two lines or more."""
-    b = np.frombuffer(b"".join(table.column("buckets").to_pylist()), np.int64)
-    i = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
+    """(bucket, first, short) of the buckets that hold two lines or more; of buckets with the same members one.
+
+    A bucket is known by 32 bits within its fragment and a line by the upper 40 bits of its id, so chance may add
+    members, which costs a comparison and no more.  A bucket's name is a hash of its members; first is its least one.
+    """
+    b = np.frombuffer(b"".join(table.column("buckets").to_pylist()), "<u4")
+    packed = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.uint8).reshape(-1, 5)
+    order = np.argsort(b, kind="stable")
+    s = b[order]
+    same = s[1:] == s[:-1]
+    order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+    wide = np.zeros((len(order), 8), np.uint8)
+    wide[:, :5] = packed[order]
+    b, i = b[order], wide.view(np.uint64)[:, 0]
     order = np.lexsort((i, b))
     b, i = b[order], i[order]
     new = np.ones(len(b), bool)
     new[1:] = (b[1:] != b[:-1]) | (i[1:] != i[:-1])
     b, i = b[new], i[new]
-    first = np.ones(len(b), bool)
-    first[1:] = b[1:] != b[:-1]
-    counts = np.diff(np.concatenate([np.flatnonzero(first), [len(b)]]))
-    keep = np.repeat(counts, counts) > 1
-    return pa.table({"bucket": pa.array(b[keep], pa.int64()), "id": pa.array(i[keep], pa.int64())})
+    head = np.ones(len(b), bool)
+    head[1:] = b[1:] != b[:-1]
+    starts = np.flatnonzero(head)
+    sizes = np.diff(np.concatenate([starts, [len(b)]]))
+    name = np.add.reduceat(mix64(i + np.uint64(1)), starts) if len(starts) else np.zeros(0, np.uint64)
+    first = np.zeros(len(starts), bool)
+    first[np.unique(name, return_index=True)[1]] = True
+    keep = np.repeat(first & (sizes > 1), sizes)
+    column = lambda x: pa.array(np.repeat(x, sizes)[keep].view(np.int64), pa.int64())
+    return pa.table({"bucket": column(name), "first": column(i[starts]), "short": pa.array(i[keep].view(np.int64), pa.int64())})
 
 
 def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _batches(batches):
-        lines = _distinct_lines(batch)
+    for lines in _new_lines(batches):
         yield pa.record_batch([pa.array(list(lines), pa.int64()), pa.array(list(lines.values()), pa.string())], names=["id", "line"])
 
 
-def parities(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of distinct grams of each line, and its WORDS words of parities."""
-    sets = gram_sets(lines)
-    sizes, bits = np.array([len(g) for g in sets], np.int64), 64 * WORDS
-    at = np.repeat(np.arange(len(sets)) * bits, sizes) + (np.concatenate(sets) % np.uint64(bits)).astype(np.int64)
-    odd = np.bincount(at, minlength=len(sets) * bits).reshape(-1, bits) & 1
-    return sizes, np.packbits(odd.astype(bool), axis=1).view("<i8")
-
-
-def _sizes_parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 1024):
-            part = batch.slice(lo, 1024)
-            sizes, words = parities(part.column("line").to_pylist())
-            yield pa.record_batch([part.column("id"), pa.array(sizes), *[pa.array(words[:, k].copy()) for k in range(WORDS)]], names=["id", "size", *PARITIES])
-
-
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose lines have a Jaccard likeness of THRESHOLD or more."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 4096):
-            part = batch.slice(lo, 4096)
-            a, b = part.column("a").to_numpy(), part.column("b").to_numpy()
-            lines = dict(zip(a.tolist(), part.column("la").to_pylist(), strict=True)) | dict(zip(b.tolist(), part.column("lb").to_pylist(), strict=True))
-            ids = np.array(sorted(lines), np.int64)
-            sets = gram_sets([lines[i] for i in ids.tolist()])
-            x, y, n = np.searchsorted(ids, a), np.searchsorted(ids, b), np.array([len(g) for g in sets], np.int64)
-            both = overlap_counts(sets, x, y)
-            keep = both >= THRESHOLD * (n[x] + n[y] - both)
-            yield pa.record_batch([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], names=["a", "b"])
-
-
-PARITIES = [f"odd{k}" for k in range(WORDS)]
-#: What sizes and parities of lines that link allow: a bit in which parities differ takes a gram that only one line
-#: has, and lines of likeness 0.8 have at most a ninth of their summed sizes of those.
-NEAR = f"{THRESHOLD} * greatest(size_a, size_b) <= least(size_a, size_b) AND 9 * ({' + '.join(f'bit_count({x}_a ^ {x}_b)' for x in PARITIES)}) <= size_a + size_b"
-
-
-def line_components(df: DataFrame) -> DataFrame:
+def group_links(sets: list[np.ndarray], bucket: np.ndarray, line: np.ndarray, prio: np.ndarray, comp: np.ndarray, ask: np.ndarray) -> list[tuple[int, int]]:
+    """Links (pairs of lines) that unite the components of lines that share a bucket as far as likeness does.
+
+    sets, prio, comp and ask are by line: its distinct grams, whether it comes early (least first), its component so
+    far, and whether it is compared with all lines of its buckets or only with those that ask.  bucket and line are
+    the memberships.  A line meets all its candidates at once, whatever number of buckets they share, and lines of
+    one component are not compared.
+    """
+    lens = np.array([len(s) for s in sets], np.int64)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(lens) - lens
+    order = np.argsort(bucket, kind="stable")
+    bucket, line = bucket[order], line[order]
+    head = np.concatenate(([True], bucket[1:] != bucket[:-1]))
+    number = np.cumsum(head) - 1
+    edges = np.append(np.flatnonzero(head), len(bucket))
+    by_line = np.argsort(line, kind="stable")
+    own = np.searchsorted(line[by_line], np.arange(len(sets) + 1))
+    mark = np.zeros(int(code.max()) + 1, bool)
+    comp, done, links = comp.copy(), np.zeros(len(sets), bool), []
+    for x in np.argsort(prio, kind="stable").tolist():
+        if not ask[x]:
+            continue
+        done[x] = True
+        buckets = number[by_line[own[x] : own[x + 1]]].tolist()
+        other = line[edges[buckets[0]] : edges[buckets[0] + 1]] if len(buckets) == 1 else np.unique(np.concatenate([line[edges[k] : edges[k + 1]] for k in buckets]))
+        other = other[(comp[other] != comp[x]) & ~done[other]]
+        n = lens[other]
+        near = DEN * np.minimum(n, lens[x]) >= NUM * np.maximum(n, lens[x])
+        other, n = other[near], n[near]
+        if not len(other):
+            continue
+        grams_of_x = code[starts[x] : starts[x] + lens[x]]
+        mark[grams_of_x] = True
+        for some, m in _blocks(other, n):
+            at = np.cumsum(m) - m
+            both = np.add.reduceat(mark[code[np.repeat(starts[some] - at, m) + np.arange(int(m.sum()))]], at, dtype=np.int64)
+            for y in some[(DEN + NUM) * both >= NUM * (m + lens[x])].tolist():
+                if comp[y] != comp[x]:
+                    links.append((x, y))
+                    comp[comp == comp[y]] = comp[x]
+        mark[grams_of_x] = False
+    return links
+
+
+def _blocks(lines: np.ndarray, sizes: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Lines by about limit grams."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(lines):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
+        yield lines[lo:hi], sizes[lo:hi]
+        lo = hi
+
+
+def _group_links(members: pa.Table, lines: pa.Table) -> pa.Table:
+    """Links of all buckets of a group.  members: (bucket, id, comp, prio, ask), the last three the same for all rows of an id; lines: (id, line)."""
+    bucket, ids, comp, prio, ask = (members.column(c).to_numpy() for c in ("bucket", "id", "comp", "prio", "ask"))
+    known = lines.column("id").to_numpy()
+    if not len(known):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    known, first = np.unique(known, return_index=True)
+    sets = gram_sets(lines.column("line").take(pa.array(first)).to_pylist())
+    line, row = np.searchsorted(known, ids), np.zeros(len(known), np.int64)
+    row[line] = np.arange(len(ids))
+    found = np.array(group_links(sets, bucket, line, prio[row], comp[row], ask[row]), np.int64).reshape(-1, 2)
+    a, b = known[found[:, 0]], known[found[:, 1]]
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
+def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Saved links (a, b) of the members (group, chunk, bucket, id, comp, prio, ask) of each group and chunk."""
+    key = ["group", "chunk"]
+    lines = members.select(*key, "id").distinct().join(texts.select("id", "line"), "id").select(*key, "id", "line").toDF("g", "c", "id", "line")
+    found = members.groupBy(*key).cogroup(lines.groupBy("g", "c")).applyInArrow(_group_links, "a long, b long")
+    return saved(found.distinct(), "links")
+
+
+def line_components(df: DataFrame, group_chars: int = GROUP_CHARS, group_lines: int = GROUP_LINES) -> DataFrame:
     """(id, comp) of the classes of equal lines that link with another class.  df: (doc_id, text), text not null."""
     chars = df.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     fragments = max(partitions(df), -(-chars // 200 * BANDS // FRAGMENT))
-    rows = df.mapInArrow(_band_rows(fragments), "frag int, buckets binary, ids binary").groupBy("frag").applyInArrow(_shared_buckets, "bucket long, id long")
-    shared = saved(rows, "bands")
-    ids = saved(shared.groupBy("id").agg((-F.count("*")).alias("prio")), "ids")  # lines that share most are centres
-    texts = saved(df.mapInArrow(_line_texts, "id long, line string").join(bounded(ids.select("id")), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "lines")
-    sketches = saved(texts.mapInArrow(_sizes_parities, "id long, size long, " + ", ".join(f"{x} long" for x in PARITIES)).join(ids, "id"), "sketches")
-    # of equal lists of members one bucket stays
-    signed = shared.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s1"), F.expr("bit_xor(xxhash64(id, 7))").alias("s2"))
-    chosen = signed.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket")
-    buckets = saved(shared.join(chosen, "bucket", "left_semi").join(sketches, "id"), "buckets")
-    drop(shared, ids, sketches)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
-        return both.mapInArrow(_alike, "a long, b long")
-
-    out = resolve(buckets, verify, NEAR)
-    drop(buckets, texts)
+    rows = df.mapInArrow(_band_rows(fragments), "frag int, buckets binary, ids binary").groupBy("frag").applyInArrow(_shared_buckets, "bucket long, first long, short long")
+    shared = saved(rows.distinct(), "bands")
+    lines = df.mapInArrow(_line_texts, "id long, line string").withColumn("short", F.shiftrightunsigned("id", 24))
+    texts = saved(lines.join(bounded(shared.select("short").distinct()), "short", "left_semi").dropDuplicates(["id"]).withColumn("chars", F.length("line")), "lines")
+
+    # buckets of the whole ids, and how each is dealt: groups take about group_chars characters, large buckets are cut
+    owners = shared.groupBy("short").agg((-F.count("*")).alias("prio"))  # lines that share most are centres
+    known = texts.select("id", "short", "chars").join(owners, "short")
+    placed = saved(shared.join(known, "short").select("bucket", "first", "id", "chars", "prio"), "placed")
+    stats = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("chars").alias("size"), F.min(F.struct("prio", "id")).alias("centre"))
+    stats = stats.where("n > 1").withColumn("chunks", F.ceil(F.greatest(F.col("n") / group_lines, F.col("size") / group_chars)))
+    large = saved(stats.where("chunks > 1").select("bucket", "chunks", F.col("centre.id").alias("centre")), "large")
+    groups = max(partitions(df), -(-(placed.agg(F.sum("chars").alias("n")).first()["n"] or 0) // group_chars))
+    columns = ["group", "chunk", "bucket", "id", F.col("id").alias("comp"), "prio", F.lit(True).alias("ask")]
+    small = placed.join(bounded(large.select("bucket")), "bucket", "left_anti").withColumn("group", F.pmod(F.xxhash64("first"), F.lit(groups))).withColumn("chunk", F.lit(-1).cast("long"))
+    whole = _links(small.select(*columns), texts)
+    links = [whole]
+    if large.isEmpty():
+        out = connected_components(whole)
+    else:
+        in_large = placed.join(bounded(large), "bucket").withColumn("group", F.col("bucket"))
+        spread = in_large.withColumn("chunk", F.when(F.col("id") == F.col("centre"), F.expr("sequence(0L, chunks - 1)")).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("chunks")))))
+        links.append(_links(spread.withColumn("chunk", F.explode("chunk")).select(*columns), texts))
+        labels = connected_components(whole.union(links[1]).distinct())
+        links.append(_links(_across(in_large, labels, group_lines), texts))
+        out = labels
+        if not links[2].isEmpty():
+            out = connected_components(labels.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(links[2]))
+            drop(labels)
+    drop(shared, texts, placed, large, *links)
     return out
 
 
+def _across(members: DataFrame, labels: DataFrame, group_lines: int) -> DataFrame:
+    """What large buckets still have to compare: members outside their centre's component with the members of all chunks."""
+    marked = members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    centres = marked.where("id = centre").select("bucket", F.col("comp").alias("main"))
+    rest = marked.join(bounded(centres), "bucket").withColumn("ask", F.col("comp") != F.col("main"))
+    asking = rest.where("ask").groupBy("bucket").agg(F.ceil(F.count("*") / group_lines).alias("parts"))
+    rest = saved(rest.join(bounded(asking), "bucket"), "rest")
+    part, chunk = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")), F.pmod(F.xxhash64("id"), F.col("chunks"))
+    asks = rest.where("ask").withColumn("part", part).withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)")))
+    told = rest.withColumn("chunk", chunk).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).where(~F.col("ask") | (F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")) != F.col("part")))
+    columns = [F.col("bucket").alias("group"), (F.col("part") * F.col("chunks") + F.col("chunk")).alias("chunk"), F.xxhash64("bucket", "part", "chunk").alias("bucket"), "id", "comp", "prio", "ask"]
+    return asks.select(*columns).union(told.withColumn("ask", F.lit(False)).select(*columns))
+
+
 def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tkey, removed): the numbers of the lines that go, for each document that loses some; tkey is xxhash64 of the text."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     comps = line_components(docs)
     seen = saved(docs.mapInArrow(_occurrences, "doc_id long, tkey long, line_no int, line_id long"), "occurrences")
-    marked = seen.join(comps.withColumnRenamed("id", "line_id"), "line_id", "left").select(F.coalesce("comp", "line_id").alias("comp"), F.struct("doc_id", "tkey", "line_no").alias("at"))
-    kept = marked.groupBy("comp").agg(F.min("at").alias("kept"), F.max("at").alias("last")).where("NOT (kept <=> last)").select("comp", "kept")
-    gone = marked.join(kept, "comp").where("NOT (at <=> kept)")
-    return gone.groupBy("at.doc_id", "at.tkey").agg(F.array_sort(F.collect_set("at.line_no")).alias("removed"))
+    # a row for each distinct line, then for each component, before anything meets its occurrences again
+    at = F.struct("doc_id", "tkey", "line_no")
+    lines = seen.groupBy("line_id").agg(F.min(at).alias("lo"), F.count("*").alias("n"))
+    lines = saved(lines.join(comps.withColumnRenamed("id", "line_id"), "line_id", "left").withColumn("comp", F.coalesce("comp", "line_id")), "distinct")
+    kept = lines.groupBy("comp").agg(F.min("lo").alias("kept"), F.sum("n").alias("n")).where("n > 1").select("comp", "kept")
+    repeated = saved(lines.join(kept, "comp").select("line_id", "kept"), "repeated")
+    gone = seen.join(repeated, "line_id").where(~at.eqNullSafe(F.col("kept")))
+    out = saved(gone.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set("line_no")).alias("removed")), "removed")
+    drop(comps, seen, lines, repeated)
+    return out
 
 
 def _rebuilt(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row (all columns of df), lines, gone and left: the non-blank lines of each text, how many go, and what stays."""
-    gone = saved(removed_lines(df, id_col, text_col), "removed").toDF("doc", "tkey", "removed")
+    gone = removed_lines(df, id_col, text_col)
+    table = bounded(gone).toDF("doc", "tkey", "removed")
     whole = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    joined = whole.join(bounded(gone), F.col("id").eqNullSafe(F.col("doc")) & (F.xxhash64("text") == F.col("tkey")), "left")
-    lines = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t\x0b\x0c\r]")))
-    stays = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    joined = whole.join(table, F.col("id").eqNullSafe(F.col("doc")) & (F.xxhash64("text") == F.col("tkey")), "left")
+    parts = F.split("text", "\n")
+    lines = F.size(F.filter(parts, lambda x: x.rlike(r"[^ \t\x0b\x0c\r]")))
+    # the numbers that stay, by hash, then their lines: linear in a text of many lines, which is split once
+    numbers = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), "removed")
+    stays = F.transform(F.array(parts), lambda p: F.array_join(F.transform(numbers(p), lambda i: F.get(p, i)), "\n"))[0]
     return joined.select("row", lines.alias("lines"), F.coalesce(F.size("removed"), F.lit(0)).alias("gone"), F.when(F.col("removed").isNull(), F.col("row").getField(text_col)).otherwise(stays).alias("left"))
 
 
