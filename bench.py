@@ -41,7 +41,7 @@ def spectrum(spark, folder: str) -> dict:  # noqa: ANN001
     out: dict = {"rows": ROWS, "generate_sec": timed(lambda: uris.extend(synthetic.write_files(spark, f"{folder}/events", ROWS, 10, ROWS // 100)))}
     table = ZoneTable(spark, uris, synthetic.INDEX, f"{folder}/index")
     out["build_sec"] = timed(table.index)
-    plain = ZoneTable(spark, uris)
+    plain, sides = ZoneTable(spark, uris), {u: table.sidecar(u) for u in uris}
     size = {(u, k): sum(m.row_group(k).column(c).total_compressed_size for c in range(m.num_columns)) for u in uris for m in [footer(u)] for k in range(m.num_row_groups)}
     out["groups"], out["bytes"] = len(size), sum(size.values())
     import datetime as dt
@@ -51,9 +51,9 @@ def spectrum(spark, folder: str) -> dict:  # noqa: ANN001
     cases = {"id = mid": [("id", "=", ROWS // 2)], "ts >= p90": [("ts", ">=", p90)], "user_id = X": [("user_id", "=", synthetic.user_of(ROWS // 3))], "event_id = existing": [("event_id", "=", some)], "event_id = absent": [("event_id", "=", some + "z")], "amount > 99000": [("amount", ">", Decimal("99000.00"))], "region = eu": [("region", "=", "eu")]}
     out["cases"] = {}
     for name, filters in cases.items():
-        side = table.sidecar(uris[0])
+        side = sides[uris[0]]
         predicates = python_predicates(filters, side.field_ids, side.types)
-        kept = {b: {(u, table.sidecar(u).zone_map.zones[i].zone_id) for u in uris for i in surviving_zones(table.sidecar(u).zone_map, table.sidecar(u).blooms if b else None, predicates)} for b in (False, True)}
+        kept = {b: {(u, sides[u].zone_map.zones[i].zone_id) for u in uris for i in surviving_zones(sides[u].zone_map, sides[u].blooms if b else None, predicates)} for b in (False, True)}
         exact = len(kept[True]) < len(kept[False]) // 4  # where only the filters tell row groups apart
         count = lambda t, e=False, f=filters: t.scan(f, ["id"], exact=e).count()
         rows = count(table, exact)

@@ -16,6 +16,7 @@ from zonelight.sources.values import NULL, Value, bound_bytes, bound_value, hash
 from zonelight.sources.zonemap import ColumnStats, Zone, ZoneMap
 
 DAY = Value("date", -1)
+# The zones, filter keys and probes that writers of these formats are held against.
 GOLDEN_TYPES = {1: "long", 2: "string", 5: "double", 6: "double", 7: "boolean", 10: "decimal(10,2)", 11: "date", 12: "time", 13: "timestamp"}
 
 
@@ -104,6 +105,7 @@ def test_bloom_has_no_false_negatives_and_few_false_positives():
 
 
 def test_bloom_layout():
+    # Keys and probes, as above.
     zone0 = [Value("bytes", f"u-{i:02d}".encode()) for i in range(20)]
     zone1 = [Value("bytes", f"v-{i:02d}".encode()) for i in range(10)]
     blooms = ZoneBlooms({(0, 3): Bloom.build(zone0), (1, 3): Bloom.build(zone1)})

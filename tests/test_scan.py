@@ -112,6 +112,100 @@ def test_pruning_spectrum_and_equal_rows(spark, table, events, filters, most):
     assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, want.select("id", "amount", "ts").collect()))
 
 
+@pytest.mark.parametrize("filters", [f for f, _ in SPECTRUM])
+def test_pruning_on_the_executors_equals_that_on_the_driver(spark, table, events, filters, monkeypatch):
+    from zonelight.operators import scan
+
+    want = table.survivors(scan.python_predicates(filters, {n: i for n, (i, _) in table.types().items()}, dict(table.types().values())))
+    monkeypatch.setattr(scan, "LOCAL_FILES", 0)
+    far = ZoneTable(spark, events, synthetic.INDEX, table.folder)
+    far.index()
+    assert far.survivors(scan.python_predicates(filters, {n: i for n, (i, _) in far.types().items()}, dict(far.types().values()))) == want
+    assert not far._sidecars  # nothing of the index is kept by the driver
+
+
+def test_driver_holds_no_bloom_filter(table):
+    assert table.scan([("event_id", "=", "nothing")]).count() == 0
+    assert all(not s.blooms.entries for s in table._sidecars.values())
+
+
+def test_bounds_from_footers_equal_those_from_data(tmp_path):
+    import datetime as dt
+
+    from zonelight.operators.build import _zone_in, column_stats, resolve_types
+
+    t = pa.table({"i": pa.array([5, None, -3, 9], pa.int32()), "l": pa.array([1 << 40, 2, 3, None]), "d": pa.array([dt.date(1960, 1, 2), None, dt.date(2001, 1, 1), None]), "t": pa.array([-5, 7, None, 10**15], pa.timestamp("us")), "z": pa.array([None] * 4, pa.int64()), "s": ["a", "b", None, "c"], "f": [1.0, float("nan"), None, 2.0]})
+    f = str(tmp_path / "t.parquet")
+    pq.write_table(t, f, row_group_size=2)
+    fields = [IndexField(n, k + 1) for k, n in enumerate(t.column_names)]
+    file = pq.ParquetFile(f)
+    types = resolve_types(file.schema_arrow, fields)
+    for k in range(2):
+        zone, _ = _zone_in(file, k, 2 * k, fields, types, 16)
+        part = t.slice(2 * k, 2)
+        assert zone.columns == {x.field_id: column_stats(part.column(x.name), x.field_id, types[x.field_id]) for x in fields}
+    pq.write_table(t, f, write_statistics=False)
+    zone, _ = _zone_in(pq.ParquetFile(f), 0, 0, fields, types, 16)
+    assert zone.columns == {x.field_id: column_stats(t.column(x.name), x.field_id, types[x.field_id]) for x in fields}
+
+
+class FolderStore(S3Config):
+    """An object store whose buckets are folders."""
+
+    def filesystem(self):
+        import pyarrow.fs as pafs
+
+        return pafs.SubTreeFileSystem(self.endpoint, pafs.LocalFileSystem())
+
+
+def test_object_store_end_to_end(spark, tmp_path, events):
+    """Build, stale check, pruned plan and exact reads through a store that only a configuration reaches."""
+    import shutil
+
+    (tmp_path / "lake").mkdir()
+    store = FolderStore(str(tmp_path), "key", "hidden", "lake")
+    uris = []
+    for k, u in enumerate(events):
+        shutil.copy(u.removeprefix("file://"), tmp_path / "lake" / f"part-{k}.parquet")
+        uris.append(normal_uri(f"s3://lake/part-{k}.parquet"))
+    t = snapshot_table(spark, ResolvedSnapshot(uris, store), synthetic.INDEX, "s3a://lake/index")
+    assert [x.name for x in t.schema.fields] == [f.name for f in synthetic.SCHEMA]
+    assert len(list((tmp_path / "lake" / "index").glob("*.puffin"))) == 3
+    assert t.scan([("id", "=", 30_000)], ["id", "region"], exact=True).count() == 1
+    assert zones(t) == 1 and [u for u, z in t.last_scan.items() if z] == [uris[1]]
+    name = synthetic.event_name(777)
+    assert [r["id"] for r in t.scan([("event_id", "=", name)], ["id", "event_id"], exact=True).collect()] == [777]
+    assert t.frame().count() == ROWS  # by Spark's connector where there is one, else by row groups
+    front = ZoneSession.from_snapshots(spark, FileListResolver({"e": uris}, store), FixedIndex(synthetic.INDEX), "s3a://lake/index")
+    out = front.run("SELECT count(*) AS n FROM e WHERE id BETWEEN 100 AND 120")
+    assert out.rows()[0]["n"] == 21
+    assert "hidden" not in t.exact({uris[0]: [0]})._jdf.queryExecution().toString()
+    with pytest.raises(ConfigError):
+        S3Config.from_env("NO_SUCH_STORE_")
+
+
+def test_files_that_only_spark_reaches_are_read_whole(spark, events, tmp_path):
+    from zonelight.sources.files import data_files, reachable
+
+    hadoop = spark._jsc.hadoopConfiguration()
+    hadoop.set("fs.viewfs.mounttable.far.link./in", f"file://{events[0].removeprefix('file://').rpartition('/')[0]}")
+    uris = data_files(spark, "viewfs://far/in")
+    assert len(uris) == 3 and not reachable(uris[0])
+    assert data_files(spark, uris[0]) == [uris[0]]
+    t = ZoneTable(spark, uris, synthetic.INDEX, str(tmp_path))
+    t.index()
+    assert t.scan([("id", "=", 7)]).count() == 1
+    front = ZoneSession.from_snapshots(spark, FileListResolver({"e": uris}), FixedIndex(synthetic.INDEX), str(tmp_path))
+    record = front.sql_to_contract("SELECT count(*) AS n FROM e WHERE id < 9")
+    assert front.run_contract(record).rows()[0]["n"] == 9
+
+
+def test_long_lists_prune(front):
+    out = front.run(f"SELECT count(*) AS n FROM events WHERE id IN ({', '.join(str(k) for k in range(41_000, 41_050))})")
+    assert out.rows()[0]["n"] == 50
+    assert sum(len(z) for z in out.scans[0]["zones"].values()) == 1
+
+
 def test_unindexed_filters_only_recheck(table):
     assert table.scan([("region", "=", "nowhere")]).count() == 0
     assert table.scan([]).count() == ROWS

@@ -105,6 +105,14 @@ class ZoneBlooms:
             out += struct.pack("<IiI", zone_id, field_id, len(bloom.words)) + bloom.words.astype("<u4").tobytes()
         return bytes(out)
 
+    def places(self) -> list[list[int]]:
+        """[zone id, field id, offset in the encoded blob, blocks] of every filter."""
+        out, at = [], 5
+        for (zone_id, field_id), bloom in self.entries.items():
+            out.append([zone_id, field_id, at + 12, len(bloom.words)])
+            at += 12 + 32 * len(bloom.words)
+        return out
+
     @staticmethod
     def decode(data: bytes) -> ZoneBlooms:
         reader = Reader(data)

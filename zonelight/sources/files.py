@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 import os
 from dataclasses import dataclass
+from typing import Any
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
+from pyspark.sql import SparkSession
 
 from ..errors import ConfigError
 
@@ -36,6 +39,10 @@ class S3Config:
         base = "spark.hadoop.fs.s3a."
         return {base + "endpoint": self.endpoint, base + "endpoint.region": self.region, base + "access.key": self.access_key, base + "secret.key": self.secret_key, base + "path.style.access": "true"}
 
+    def read_options(self) -> dict[str, str]:
+        """The same settings as options of one read."""
+        return {k.removeprefix("spark.hadoop."): v for k, v in self.spark_options().items()}
+
     def filesystem(self) -> pafs.FileSystem:
         scheme, _, host = self.endpoint.rpartition("://")
         return pafs.S3FileSystem(access_key=self.access_key, secret_key=self.secret_key, endpoint_override=host, scheme=scheme or "https", region=self.region, force_virtual_addressing=False)
@@ -66,6 +73,39 @@ def opened(uri: str, store: S3Config | None = None) -> tuple[pafs.FileSystem, st
     return pafs.LocalFileSystem(), uri
 
 
+def reachable(uri: str, store: S3Config | None = None) -> bool:
+    """Whether this process's own file systems reach a URI; some only Spark's do."""
+    try:
+        opened(uri, store)
+    except (OSError, ValueError, ConfigError, pa.ArrowException):
+        return False
+    return True
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """Spark's file system for a path, and the path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """The Parquet files of a file or folder that Spark can read, in order of their names."""
+    fs, at = _hadoop(spark, path)
+    if not fs.getFileStatus(at).isDirectory():
+        return [path]
+    found = [s.getPath() for s in fs.listStatus(at) if s.isFile()]
+    return sorted(p.toString() for p in found if p.getName().endswith(".parquet") and p.getName()[0] not in "._")
+
+
+def version_of(spark: SparkSession, uri: str, store: S3Config | None = None) -> str:
+    """The fingerprint of a file, by Spark's file system where this process's own don't reach it."""
+    if reachable(uri, store):
+        return fingerprint(uri, store)
+    fs, at = _hadoop(spark, uri)
+    status = fs.getFileStatus(at)
+    return f"{status.getLen()}:{status.getModificationTime()}"
+
+
 def fingerprint(uri: str, store: S3Config | None = None) -> str:
     """Path, size and time of change of a file; an index of another fingerprint is stale."""
     fs, path = opened(uri, store)

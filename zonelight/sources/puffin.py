@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -44,27 +45,38 @@ def write_puffin(blobs: list[Blob], properties: dict[str, str] | None = None) ->
 
 def read_puffin(data: bytes) -> tuple[list[Blob], dict[str, str]]:
     """Blobs with their bytes, and the file's properties."""
-    n = len(data)
-    if n < 20 or data[:4] != MAGIC or data[-4:] != MAGIC:
+    metas, properties = read_footer(len(data), lambda at, n: data[at : at + n])
+    return [_blob(m, data[m["offset"] : m["offset"] + m["length"]]) for m in metas], properties
+
+
+def _blob(meta: dict[str, Any], data: bytes) -> Blob:
+    return Blob(meta["type"], list(meta["fields"]), data, meta["snapshot-id"], meta["sequence-number"], meta.get("properties") or {})
+
+
+def read_footer(n: int, read: Callable[[int, int], bytes]) -> tuple[list[dict[str, Any]], dict[str, str]]:
+    """What the footer of a container of n bytes says of its blobs, and the file's properties; ``read`` gets offset and length."""
+    if n < 20 or read(0, 4) != MAGIC:
+        raise BadContainer("magic bytes are missing")
+    tail = read(n - 12, 12)
+    if tail[-4:] != MAGIC:
         raise BadContainer("magic bytes are missing")
-    size, flags = struct.unpack_from("<i4s", data, n - 12)
+    size, flags = struct.unpack("<i4s", tail[:8])
     if flags[0] & 1:
         raise UnsupportedCodec("the footer is compressed")
     start = n - 12 - size
-    if size < 0 or start < 8 or data[start - 4 : start] != MAGIC:
+    if size < 0 or start < 8 or read(start - 4, 4) != MAGIC:
         raise BadContainer("the footer doesn't begin where it should")
     try:
-        footer = json.loads(data[start : start + size])
-        blobs = []
+        footer = json.loads(read(start, size))
         for m in footer["blobs"]:
             if m.get("compression-codec"):
                 raise UnsupportedCodec(m["compression-codec"])
             if m["offset"] < 4 or m["length"] < 0 or m["offset"] + m["length"] > start - 4:
                 raise BadContainer("a blob lies outside the file")
-            blobs.append(Blob(m["type"], list(m["fields"]), data[m["offset"] : m["offset"] + m["length"]], m["snapshot-id"], m["sequence-number"], m.get("properties") or {}))
+            _blob(m, b"")
+        return footer["blobs"], footer.get("properties") or {}
     except (KeyError, TypeError, ValueError) as e:
         raise BadContainer(f"the footer can't be read: {e}") from e
-    return blobs, footer.get("properties") or {}
 
 
 def first_of_type(blobs: list[Blob], kind: str) -> Blob | None:
