@@ -12,22 +12,49 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from zonelight.errors import UnsupportedType
 from zonelight.functions import get_json_object, normal_path, register
+from zonelight.functions.arrow_cast import rewrite_casts
+from zonelight.functions.json_path import rewrite_paths
+from zonelight.plans.names import quiet_spans
 from zonelight.plans.server import SqlService, server
 from zonelight.sources.resolvers import FileListResolver
 
-DOC = '{"sensor":{"id":"A12","bat":0.83},"tags":["x","y"],"n":7,"z":null,"a.b":1}'
+DOC = '{"ship":{"name":"Ä 1","crew":[{"age":31},{"age":null}],"cargo.t":4.25},"log":[],"open":true,"empty":""}'
 
 
 @pytest.mark.parametrize(
     ("path", "want"),
-    [("$.sensor.id", "A12"), ("$.sensor.bat", "0.83"), ("$.tags[0]", "x"), ("$.tags[ 1 ]", "y"), ("$['sensor']['id']", "A12"), ('$["sensor"]["id"]', "A12"), ("$.n", "7"), ("$.z", None), ("$.missing", None), ("$.tags[9]", None), ("$.tags[-1]", None), ("$.tags[*]", None), ("$.", None), ("$..id", None), ("sensor", None), ("$['a.b']", "1"), ("$.tags", '["x","y"]'), ("$.sensor", '{"id":"A12","bat":0.83}'), ("$", DOC)],
+    [("$.ship.name", "Ä 1"), ("$.ship.crew[0].age", "31"), ("$.ship.crew[ 0 ]['age']", "31"), ('$[ "ship" ]["crew"][1].age', None), ("$['ship']['cargo.t']", "4.25"), ("$.ship.crew[2]", None), ("$.ship.crew[-1]", None), ("$.ship.crew[*].age", None), ("$.log", "[]"), ("$.open", "true"), ("$.empty", ""), ("$.ship.crew", '[{"age":31},{"age":null}]'), ("$.ship.none.name", None), ("$.", None), ("$..name", None), ("ship.name", None), ("", None)],
 )
 def test_json_paths(spark, path, want):
     row = spark.range(1).select(get_json_object(F.lit(DOC), path).alias("v"), get_json_object(F.lit("no json"), path).alias("bad"), get_json_object(F.lit(None).cast("string"), path).alias("none")).first()
     assert (row["v"], row["bad"], row["none"]) == (want, None, None)
 
 
+def test_json_paths_from_a_column(spark):
+    paths = ["$.ship.name", '$[ "ship" ]["name"]', "$.ship.crew[ 00 ].age", "$.ship.crew[*].age", "ship.name", "$..name", None, "$['ship']['cargo.t']"]
+    frame = spark.createDataFrame([(DOC, p) for p in paths], "doc string, path string")
+    want = ["Ä 1", "Ä 1", "31", None, None, None, None, "4.25"]
+    assert [r[0] for r in frame.select(get_json_object("doc", F.col("path"))).collect()] == want
+    frame.createOrReplaceTempView("doc_paths")
+    sql = rewrite_paths("SELECT get_json_object(doc, concat(path, '')) AS v FROM doc_paths", [(40, 42)])
+    assert sorted(str(r["v"]) for r in spark.sql(sql).collect()) == sorted(map(str, want))
+
+
+def test_casts_to_arrow_types(spark):
+    import datetime as dt
+
+    one = lambda sql: spark.sql("SELECT " + rewrite_casts(sql, quiet_spans(sql)) + " AS v").first()["v"]
+    assert one("arrow_cast(1600000000123456, 'Timestamp(Microsecond, None)')") == dt.datetime(2020, 9, 13, 12, 26, 40, 123456)
+    assert one("arrow_cast(-1, 'Timestamp(Second, None)')") == dt.datetime(1969, 12, 31, 23, 59, 59)
+    assert one("arrow_cast('7', 'Int64') + 1") == 8
+    assert str(one("arrow_cast(1.239, 'Decimal128(10, 2)')")) == "1.24"
+    assert one("concat('arrow_cast(1)', arrow_cast(2, 'Utf8'))") == "arrow_cast(1)2"
+    with pytest.raises(UnsupportedType):
+        one("arrow_cast(1, 'Int77')")
+
+
 def test_normal_path():
     assert normal_path("$.a[ 2 ]['b']") == "$['a'][2]['b']"
     assert normal_path("a") is None

@@ -5,7 +5,11 @@ from __future__ import annotations
 import datetime as dt
 import os
 import re
+import shutil
+import subprocess
+import sys
 from decimal import Decimal
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -49,14 +53,32 @@ def test_every_query_has_sql():
 
 def test_entry_point_works_without_the_optional_folder():
     """Nothing outside the optional folder may import it, but for the guarded import of the entry point."""
-    from pathlib import Path
-
     root = Path(__file__).resolve().parent.parent
     for f in (root / "zonelight").rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert not re.search(r"\bllm\b", f.read_text(encoding="utf-8")), f
 
 
+@pytest.mark.parametrize("left", ["nothing", "empty folder", "pipeline", "broken"])
+def test_entry_point_imports_with_what_is_left(tmp_path, left):
+    """The engine's queries stay up whatever of the optional folder is gone."""
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "zonelight", tmp_path / "zonelight", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    folder = tmp_path / "zonelight" / ("l" + "lm")
+    if left != "nothing":
+        folder.mkdir()
+    if left == "pipeline":
+        (tmp_path / "corpus_pipeline.py").write_text("import zonelight.nowhere\n")
+    if left == "broken":
+        (folder / "__init__.py").write_text("")
+        (folder / "registry.py").write_text("MODULES = ['one']\n")
+        (folder / "one.py").write_text("import no_such_library\n")
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), set(q) == set(e.oracle_sql()), any(n.startswith('op') or n == 'pipeline' for n in q))"
+    out = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    assert out.stdout.split() == [str(len(catalogue.queries())), "True", "False"], out.stderr
+
+
 @pytest.mark.parametrize("name", ["contract_replay", "json_front", "fqn", "zone_join", "zone_cte"])
 def test_whole_tables_are_read(spark, duck, name):
     """Beside each query over a range of ids there is one over all rows."""

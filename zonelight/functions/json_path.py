@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .calls import Call, rewritten, text_of
+
 _STEP = re.compile(r"\.([^.\[]+)|\[\s*(?:'([^\]]*)'|\"([^\]]*)\"|(\d+))\s*\]")
 
 
@@ -31,47 +33,45 @@ def normal_path(path: str) -> str | None:
     return out
 
 
-def get_json_object(json: Column | str, path: str) -> Column:
-    """Strings without quotes, other leaves and documents as compact JSON; NULL for what is missing, null or no JSON."""
+#: What a whole path must look like, and how quoted steps come to be as Spark's built-in wants them.
+_WHOLE = r"""^[$](?:[.][^.\[]+|\[\s*(?:'[^'\]*]+'|"[^"'\]*]+"|[0-9]+)\s*\])*$"""
+_QUOTED = r"""\[\s*["']([^"'\]]+)["']\s*\]"""
+_INDEX = r"\[\s*0*([0-9]+)\s*\]"
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def path_sql(json: str, path: str) -> str:
+    """SQL of get_json_object where the path is an expression: made normal row by row, NULL where it is none."""
+    normal = f"regexp_replace(regexp_replace({path}, {_sql(_QUOTED)}, {_sql("['$1']")}), {_sql(_INDEX)}, '[$1]')"
+    return f"CASE WHEN {path} RLIKE {_sql(_WHOLE)} THEN get_json_object({json}, {normal}) END"
+
+
+def get_json_object(json: Column | str, path: str | Column) -> Column:
+    """Strings without quotes, other leaves and documents as compact JSON; NULL for what is missing, null or no JSON.
+
+    The path is text, or a column with a path for each row.
+    """
+    if isinstance(path, Column):
+        normal = F.regexp_replace(F.regexp_replace(path, _QUOTED, "['$1']"), _INDEX, "[$1]")
+        return F.when(path.rlike(_WHOLE), F.call_function("get_json_object", F.col(json) if isinstance(json, str) else json, normal))
     p = normal_path(path)
     return F.lit(None).cast("string") if p is None else F.get_json_object(json, p)
 
 
-_CALL = re.compile(r"(?i)\bget_json_object\s*\(")
-_LITERAL = re.compile(r"\s*('(?:[^'\\]|''|\\.)*')\s*\)")
+def rewrite_paths(sql: str, spans: list[tuple[int, int]]) -> str:
+    """SQL with the paths of get_json_object calls made normal.  spans: string literals and comments, which calls don't start in."""
 
+    def new(call: Call) -> str | None:
+        if len(call.args) != 2:
+            return None
+        json, path = (x.strip() for x in call.args)
+        text = text_of(path)
+        if text is None:
+            return path_sql(json, path)
+        p = normal_path(text)
+        return "CAST(NULL AS STRING)" if p is None else f"get_json_object({json}, {_sql(p)})"
 
-def rewrite_paths(sql: str, spans: list[tuple[int, int]]) -> str:
-    """SQL with the literal paths of get_json_object calls made normal.  spans: string literals and comments, which calls don't start in."""
-    out, done = [], 0
-    for m in _CALL.finditer(sql):
-        if any(a <= m.start() < b for a, b in spans) or m.start() < done:
-            continue
-        depth, at, comma, end = 1, m.end(), None, None
-        while at < len(sql):
-            hit = next(((a, b) for a, b in spans if a == at), None)
-            if hit:
-                at = hit[1]
-                continue
-            c = sql[at]
-            depth += (c == "(") - (c == ")")
-            if depth == 0:
-                end = at
-                break
-            if depth == 1 and c == ",":
-                comma = at
-            at += 1
-        if comma is None or end is None:
-            continue
-        lit = _LITERAL.match(sql, comma + 1)
-        if not lit or lit.end() != end + 1:
-            continue
-        raw = lit[1][1:-1].replace("''", "'").replace("\\'", "'").replace('\\"', '"').replace("\\\\", "\\")
-        p = normal_path(raw)
-        new = "'$.\\0'" if p is None else "'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'"
-        if p is None:
-            out += [sql[done : m.start()], "CAST(NULL AS STRING)"]
-        else:
-            out += [sql[done : lit.start(1)], new, sql[lit.end(1) : end + 1]]
-        done = end + 1
-    return "".join([*out, sql[done:]])
+    return rewritten(sql, spans, "get_json_object", new)

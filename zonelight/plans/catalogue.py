@@ -6,18 +6,22 @@ Most run the same text on both engines; the others build on the index, the sessi
 from __future__ import annotations
 
 import atexit
-import os
+import re
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ConfigError
 from ..functions import approx_count_distinct, get_json_object
 from ..operators.build import IndexField
 from ..operators.scan import ZoneTable
-from ..sources.resolvers import FileListResolver, FixedIndex
+from ..sources.files import data_files
+from ..sources.resolvers import FileListResolver, FixedIndex, ResolvedSnapshot
+from ..sources.snapshot import snapshot_table
 from .session import ZoneSession
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,31 +39,30 @@ def _uri(sf_dir: str, name: str) -> str:
 
 
 def _index_folder(spark: SparkSession) -> str:
-    """Where sidecars go: below the shared folder of the cluster, else a folder of this process."""
+    """Where sidecars go: below the shared folder of the cluster; on one machine without one, a folder of this process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return f"{base.rstrip('/')}/zone-index"
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+        raise ConfigError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not hasattr(_index_folder, "own"):
         _index_folder.own = tempfile.mkdtemp(prefix="zone-index-")
         atexit.register(shutil.rmtree, _index_folder.own, ignore_errors=True)
     return _index_folder.own
 
 
-def _files(sf_dir: str, name: str) -> list[str]:
-    path = _uri(sf_dir, name)
-    if os.path.isdir(path):
-        return sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".parquet"))
-    return [path]
+def _files(spark: SparkSession, sf_dir: str, name: str) -> list[str]:
+    return data_files(spark, _uri(sf_dir, name))
 
 
 def zone_table(spark: SparkSession, sf_dir: str, name: str) -> ZoneTable:
-    table = ZoneTable(spark, _files(sf_dir, name), INDEXED.get(name, []), _index_folder(spark))
+    table = ZoneTable(spark, _files(spark, sf_dir, name), INDEXED.get(name, []), _index_folder(spark))
     table.index()
     return table
 
 
 def session(spark: SparkSession, sf_dir: str) -> ZoneSession:
-    tables = {n: _files(sf_dir, n) for n in TABLES}
+    tables = {n: _files(spark, sf_dir, n) for n in TABLES}
     return ZoneSession.from_snapshots(spark, FileListResolver(tables), FixedIndex(by_table=INDEXED), _index_folder(spark))
 
 
@@ -89,9 +92,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the index says of the events table, over all zones."""
-    table = zone_table(spark, sf_dir, "events")
-    rows = [(c.field_id, z.row_count, c.null_count, c.value_count) for u in table.uris for z in table.sidecar(u).zone_map.zones for c in z.columns.values()]
-    return spark.createDataFrame(rows, "field_id int, row_count long, null_count long, value_count long").groupBy("field_id").agg(F.sum("row_count").alias("row_count"), F.sum("null_count").alias("null_count"), F.sum("value_count").alias("value_count"))
+    zones = zone_table(spark, sf_dir, "events").zone_stats()
+    return zones.groupBy("field_id").agg(F.sum("row_count").alias("row_count"), F.sum("null_count").alias("null_count"), F.sum("value_count").alias("value_count"))
 
 
 def exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,26 +102,36 @@ def exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memory_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table of in-memory zones: four ranges of events."""
-    from ..operators.build import zone_of
+    """A table of in-memory zones: four ranges of events, whose bounds one aggregation gives."""
     from ..sources.memory import MemoryZoneTable
-    from ..sources.zonemap import ZoneMap
+    from ..sources.values import Value
+    from ..sources.zonemap import ColumnStats, Zone, ZoneMap
 
-    types, fields, frames, zones, at = {1: "long"}, [IndexField("event_id", 1)], [], [], 0
     events = spark.read.parquet(_uri(sf_dir, "events")).select("event_id", "user_id")
     bounds = events.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
     step = (bounds["hi"] - bounds["lo"]) // 4 + 1
-    for k in range(4):
-        lo = bounds["lo"] + k * step
-        frame = events.where((F.col("event_id") >= lo) & (F.col("event_id") < lo + step))
-        zone, _ = zone_of(frame.select("event_id").toArrow(), k, at, fields, types)
-        frames.append(frame)
-        zones.append(zone)
-        at += zone.row_count
-    table = MemoryZoneTable(spark, ZoneMap(zones), frames, {"event_id": 1}, types)
+    part = F.floor((F.col("event_id") - bounds["lo"]) / step)
+    stats = events.groupBy(part.alias("k")).agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"), F.count("event_id").alias("n"))
+    frames, zones, at = [], [], 0
+    for r in stats.where("k IS NOT NULL").orderBy("k").collect():  # a row for each zone
+        lo = bounds["lo"] + r["k"] * step
+        frames.append(events.where((F.col("event_id") >= lo) & (F.col("event_id") < lo + step)))
+        zones.append(Zone(len(zones), at, r["n"], {1: ColumnStats(1, Value("int", r["lo"]), Value("int", r["hi"]), 0, r["n"])}))
+        at += r["n"]
+    table = MemoryZoneTable(spark, ZoneMap(zones), frames, {"event_id": 1}, {1: "long"})
     return table.scan([("event_id", ">=", bounds["lo"] + 3 * step)], ["event_id", "user_id"])
 
 
+def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot of several files, of which the filter's bounds leave one."""
+    folder = f"{_index_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    events = spark.read.parquet(_uri(sf_dir, "events"))
+    events.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.parquet(folder)
+    table = snapshot_table(spark, ResolvedSnapshot(data_files(spark, folder)), INDEXED["events"], f"{folder}-index")
+    top = events.agg(F.max("event_id").alias("m")).first()["m"]
+    return table.scan([("event_id", ">=", top - top // 10)], ["event_id", "user_id", "event_type"])
+
+
 def contract_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A statement recorded and run again from its record."""
     s = session(spark, sf_dir)
@@ -141,9 +153,10 @@ def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate counts of a column by a group, with the exact ones: how many groups there are, and how many are within a tenth."""
     events = spark.read.parquet(_uri(sf_dir, "events"))
-    both = events.agg(approx_count_distinct("user_id").alias("a"), F.countDistinct("user_id").alias("e"))
-    return both.select((F.abs(F.col("a") - F.col("e")) <= 0.1 * F.col("e")).alias("close"))
+    both = events.groupBy("event_type").agg(approx_count_distinct("user_id").alias("a"), F.countDistinct("user_id").alias("users"))
+    return both.select("event_type", "users", (F.abs(F.col("a") - F.col("users")) <= 0.1 * F.col("users")).alias("close"))
 
 
 # name: SQL of both engines, through the front (names, limit and pruning apply)
@@ -162,7 +175,6 @@ FRONT = {
     "decimal_filter": "SELECT count(*) AS n FROM events WHERE CAST(value AS DECIMAL(12,2)) > 50.00",
     "double_filter": "SELECT count(*) AS n FROM events WHERE value > 90",
     "is_null": "SELECT count(*) AS n FROM events WHERE value IS NULL",
-    "auto_limit": "SELECT event_id FROM (SELECT event_id FROM events ORDER BY event_id LIMIT 90) t",
     "zone_self_join": "SELECT a.event_id AS x, b.event_id AS y FROM events a FULL JOIN events b ON a.event_id = b.event_id AND a.event_id = 500 AND b.event_id = 500 WHERE a.event_id = 500 OR b.event_id = 700",
     "zone_join": "SELECT o.o_orderkey, count(*) AS n, sum(l.l_quantity) AS quantity FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE o.o_orderkey BETWEEN 100 AND 160 GROUP BY o.o_orderkey",
     "zone_join_whole": "SELECT count(DISTINCT o.o_orderkey) AS orders, count(*) AS n, sum(l.l_quantity) AS quantity FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey",
@@ -205,7 +217,7 @@ PLAIN = {
     "union_distinct": "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey AS k FROM region",
     "intersect": "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0",
     "intersect_all": "SELECT n_regionkey AS k FROM nation INTERSECT ALL SELECT r_regionkey AS k FROM region",
-    "except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders",
+    "except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders WHERE o_totalprice > 150000",
     "except_all": "SELECT n_regionkey AS k FROM nation EXCEPT ALL SELECT r_regionkey AS k FROM region",
     "cte": "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey), top AS (SELECT max(total) AS m FROM big) SELECT o_custkey FROM big JOIN top ON total = m",
     "scalar_subquery": "SELECT count(*) AS n FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)",
@@ -221,9 +233,10 @@ PLAIN = {
 TWO = {
     "json_front": ("SELECT event_id, get_json_object(props, '$[\"k\"]') AS k FROM main.default.events WHERE event_id < 50", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_id < 50"),
     "json_front_whole": ("SELECT count(*) AS n, count(k) AS found, count(DISTINCT k) AS kinds, min(k) AS low, max(k) AS high FROM (SELECT get_json_object(props, '$[\"k\"]') AS k FROM main.default.events) t", "SELECT count(*) AS n, count(k) AS found, count(DISTINCT k) AS kinds, min(k) AS low, max(k) AS high FROM (SELECT json_extract_string(props, '$.k') AS k FROM events) t"),
+    "auto_limit": ("SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 100"),
     "auto_limit_whole": ("SELECT event_id FROM events ORDER BY event_id", "SELECT event_id FROM events ORDER BY event_id LIMIT 100"),
     "fqn_whole": ("SELECT count(*) AS n, count(DISTINCT events.user_id) AS users, max(e.event_id) AS top FROM main.default.events AS e JOIN a.b.events ON e.event_id = events.event_id", "SELECT count(*) AS n, count(DISTINCT user_id) AS users, max(event_id) AS top FROM events"),
-    "approx_front": ("SELECT abs(approx_distinct(user_id) - count(DISTINCT user_id)) <= 0.1 * count(DISTINCT user_id) AS close FROM cat.sch.events", "SELECT true AS close"),
+    "approx_front": ("SELECT event_type, count(DISTINCT user_id) AS users, abs(approx_distinct(user_id) - count(DISTINCT user_id)) <= 0.1 * count(DISTINCT user_id) AS close FROM cat.sch.events GROUP BY event_type", "SELECT event_type, count(DISTINCT user_id) AS users, true AS close FROM events GROUP BY event_type"),
     "fqn": ("SELECT e.event_id, events.user_id FROM main.default.events AS e JOIN a.b.events ON e.event_id = events.event_id WHERE e.event_id < 25", "SELECT event_id, user_id FROM events WHERE event_id < 25"),
 }
 TWO_PLAIN = {
@@ -251,9 +264,12 @@ def broadcast_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def union_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two files as one table."""
-    table = ZoneTable(spark, _files(sf_dir, "events") * 2, INDEXED["events"], _index_folder(spark))
-    return table.frame().groupBy("event_type").agg(F.count("*").alias("n"))
+    """Two files of one schema as one table."""
+    folder = f"{_index_folder(spark)}/union-{uuid.uuid4().hex}"
+    for name, part in (("low", "c_nationkey < 12"), ("high", "c_nationkey >= 12 OR c_nationkey IS NULL")):
+        spark.read.parquet(_uri(sf_dir, "customer")).where(part).write.parquet(f"{folder}/{name}")
+    table = ZoneTable(spark, [f for name in ("low", "high") for f in data_files(spark, f"{folder}/{name}")])
+    return table.frame().groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"))
 
 
 OWN: dict[str, tuple[Query, str]] = {
@@ -264,8 +280,9 @@ OWN: dict[str, tuple[Query, str]] = {
     "contract_replay": (contract_replay, "SELECT event_id, value FROM events WHERE event_id BETWEEN 100 AND 140"),
     "contract_replay_whole": (contract_replay_whole, "SELECT event_type, count(*) AS n, max(event_id) AS top FROM events GROUP BY event_type"),
     "json_paths": (json_paths, "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k') AS quoted, CAST(NULL AS VARCHAR) AS missing FROM events"),
-    "approx_distinct": (approx_distinct, "SELECT true AS close"),
-    "union_files": (union_files, "SELECT event_type, 2 * count(*) AS n FROM events GROUP BY event_type"),
+    "approx_distinct": (approx_distinct, "SELECT event_type, count(DISTINCT user_id) AS users, true AS close FROM events GROUP BY event_type"),
+    "snapshot_files": (snapshot_files, "SELECT event_id, user_id, event_type FROM events, (SELECT max(event_id) AS top FROM events) t WHERE event_id >= top - top // 10"),
+    "union_files": (union_files, "SELECT c_mktsegment, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer GROUP BY c_mktsegment"),
     "join_broadcast": (broadcast_join, "SELECT n_name, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"),
     "view": (_view, TWO_PLAIN["view"][1]),
 }
