@@ -309,3 +309,45 @@ def test_texts_that_share_an_id_are_all_compared(spark):
     seven = [x for x in kept if x[0] == 7]
     assert len(seven) == 1 and seven[0] in rows
     assert sorted(map(str, (x for x in kept if x[0] != 7))) == sorted(map(str, [(1, a), (2, b), (5, c), (5, c), (8, ""), (8, " "), (None, a)]))
+
+
+def test_a_slice_sends_as_much_to_many_fragments_as_to_few():
+    """Heads of a slice are sent once; the rest is hashes and places, whatever number of fragments they are dealt to."""
+    r = np.random.default_rng(3)
+    ids = np.arange(2000, dtype=np.int64)
+    sets = [np.unique(r.integers(0, 2**63, r.integers(1, 200)).astype(np.uint64)) for _ in ids]
+    size = lambda n: sum(len(x) for c in ("places", "hashes") for x in ngram_join._fragment_rows(ids, sets, n).column(c).to_pylist())
+    shingles = sum(len(s) for s in sets)
+    assert size(1) == size(57) == size(3333) == 10 * shingles + 16 * len(ids)
+
+
+def test_answers_to_slices_give_counts_and_frequencies():
+    """Fragments' answers, put together by slice, against counting."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    whole = {int(i): np.unique(r.integers(0, 400, r.integers(0, 60)).astype(np.uint64) << np.uint64(54)) for i in range(90)}
+    rows = pa.concat_tables([pa.Table.from_batches([ngram_join._fragment_rows(np.array(part, np.int64), [whole[i] for i in part], 7)]) for part in (range(40), range(40, 90))])
+    frags = sorted(set(rows.column("frag").to_pylist()))
+    pick = lambda table, name, value: table.filter(pa.compute.equal(table.column(name), value))
+    import pyarrow.compute  # noqa: F401
+
+    count = {}
+    for s in whole.values():
+        for h in s.tolist():
+            count[h] = count.get(h, 0) + 1
+    for answer, done in ((ngram_join._counted, ngram_join._totals), (ngram_join._answered, ngram_join._prefixes)):
+        answers = pa.concat_tables([answer(pick(rows, "frag", f)) for f in frags])
+        out = pa.concat_tables([done(pick(answers, "slice", s)) for s in set(answers.column("slice").to_pylist())]).to_pylist()
+        if done is ngram_join._totals:
+            assert {x["doc_id"]: (x["size"], x["shared"]) for x in out} == {i: (len(s), sum(count[h] > 1 for h in s.tolist())) for i, s in whole.items()}
+            continue
+        got = {}
+        for x in out:
+            got.setdefault(x["id"], []).append((x["freq"], x["shingle"], x["rest"]))
+        for i, s in whole.items():
+            n = len(s)
+            order = sorted((count[h], h) for h in s.tolist())
+            prefix = order[: n - -(-80 * n // 100) + 1] if n else []
+            want = [(f, h - (h >> 63 << 64), n - 1 - k) for k, (f, h) in enumerate(prefix) if f > 1]
+            assert got.get(i, []) == want, i

@@ -6,8 +6,9 @@ first n - ceil(0.8 n) + 1 of either.  The order is cut into fragments by hash; a
 counted in each fragment by itself and summed per pair, and the sum decides exactly.
 
 1. Equal texts are one class; only its least document goes on.
-2. Shingle hashes go to the fragments.  A shingle that a second class has too is shared; classes with
-   fewer than 80 % shared shingles can't link and leave.  Most of a corpus leaves here.
+2. Shingle hashes go to the fragments.  A shingle that a second class has too is shared; a fragment answers each
+   slice of documents in one packed row.  Classes with fewer than 80 % shared shingles can't link and leave.  Most of a
+   corpus leaves here.
 3. What is left gets document frequencies among the rest, and prefixes; equal posting lists are one bucket.
    A pair is a candidate only if sizes and the places of a common shingle leave room for enough overlap.
 4. Buckets resolve into components round by round (``_components.resolve``) with the vertical count as test.
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import resolve
@@ -55,29 +56,38 @@ def _sets(text: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray]]]:
 
 
 def _fragment_rows(ids: np.ndarray, sets: list[np.ndarray], fragments: int) -> pa.RecordBatch:
-    """A row for each fragment: the documents' ids and set sizes, and the fragment's hashes with the row of each."""
+    """What a slice of documents sends: a row for each fragment it has hashes in, and a head with ids and set sizes.
+
+    The head is the row of fragment -1.  The other rows have the hashes and the place in the slice of each one's
+    document, and nothing of documents that are not in the fragment.  A slice is known by a hash of its ids.
+    """
     lens = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets), dtype=np.int32), lens)
+    place = np.repeat(np.arange(len(sets), dtype="<u2"), lens)
     frag = (flat >> np.uint64(32)).astype(np.int64) * fragments >> 32
     order = np.argsort(frag, kind="stable")
     cuts = np.searchsorted(frag[order], np.arange(fragments + 1))
-    parts = [order[cuts[f] : cuts[f + 1]] for f in range(fragments)]
-    head = np.stack([ids, lens]).astype("<i8").tobytes()
-    full = [f for f, p in enumerate(parts) if len(p) or f == 0]  # fragment 0 gets the sizes of all documents
-    columns = [pa.array(full, pa.int32()), pa.array([head] * len(full), pa.binary()), pa.array([row[parts[f]].tobytes() for f in full], pa.binary()), pa.array([flat[parts[f]].tobytes() for f in full], pa.binary())]
-    return pa.record_batch(columns, names=["frag", "head", "rows", "hashes"])
+    full = np.flatnonzero(np.diff(cuts)).tolist()
+    parts = [order[cuts[f] : cuts[f + 1]] for f in full]
+    name = int.from_bytes(hashlib.blake2b(ids.tobytes(), digest_size=8).digest(), "little", signed=True)
+    places = [ids.astype("<i8").tobytes(), *(place[p].tobytes() for p in parts)]
+    hashes = [lens.astype("<i8").tobytes(), *(flat[p].tobytes() for p in parts)]
+    columns = [pa.array([-1, *full], pa.int32()), pa.array([name] * (1 + len(full)), pa.int64()), pa.array(places, pa.binary()), pa.array(hashes, pa.binary())]
+    return pa.record_batch(columns, names=["frag", "slice", "places", "hashes"])
 
 
-_FRAGMENT_SCHEMA = "frag int, head binary, rows binary, hashes binary"
+_FRAGMENT_SCHEMA = "frag int, slice long, places binary, hashes binary"
+#: Documents of a slice at most.
+SLICE = 1 << 16
 
 
 def _text_fragments(fragments: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            for lo, hi, sets in _sets(batch.column("text")):
-                yield _fragment_rows(ids[lo:hi], sets, fragments)
+            for first, last, sets in _sets(batch.column("text")):
+                for lo in range(0, last - first, SLICE):
+                    yield _fragment_rows(ids[first + lo : min(last, first + lo + SLICE)], sets[lo : lo + SLICE], fragments)
 
     return run
 
@@ -93,21 +103,6 @@ def _set_fragments(fragments: int):  # noqa: ANN202
     return run
 
 
-def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of a fragment, and the document and set size of each."""
-    ids, sizes, hashes = [], [], []
-    for head, rows, h in zip(*(table.column(c).to_pylist() for c in ("head", "rows", "hashes")), strict=True):
-        if len(rows):
-            both = np.frombuffer(head, "<i8").reshape(2, -1)
-            r = np.frombuffer(rows, np.int32)
-            ids.append(both[0][r])
-            sizes.append(both[1][r])
-            hashes.append(np.frombuffer(h, np.uint64))
-    if not ids:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(ids), np.concatenate(sizes)
-
-
 def _frequency(hashes: np.ndarray) -> np.ndarray:
     """How often each element's value occurs."""
     order = np.argsort(hashes, kind="stable")
@@ -120,56 +115,77 @@ def _frequency(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shared_counts(table: pa.Table) -> pa.Table:
-    """Of each document, how many of the fragment's shingles another one has too; fragment 0 adds all documents' sizes."""
-    hashes, ids, _ = _gathered(table)
-    docs, counts = np.unique(ids[_frequency(hashes) > 1], return_counts=True)
-    sizes = np.zeros(len(docs), np.int64)
-    if table.num_rows and table.column("frag")[0].as_py() == 0:
-        heads = np.concatenate([np.frombuffer(h, "<i8").reshape(2, -1) for h in table.column("head").to_pylist()], axis=1)
-        docs, counts, sizes = np.concatenate([docs, heads[0]]), np.concatenate([counts, np.zeros(heads.shape[1], np.int64)]), np.concatenate([sizes, heads[1]])
-    return pa.table({"doc_id": pa.array(docs, pa.int64()), "size": pa.array(sizes, pa.int64()), "shared": pa.array(counts, pa.int64())})
-
-
-def _df_lists(table: pa.Table) -> pa.Table:
-    """Of each document, the fragment's shared shingles with their document frequency."""
-    hashes, ids, sizes = _gathered(table)
-    df = _frequency(hashes)
-    keep = df > 1
-    hashes, ids, sizes, df = hashes[keep], ids[keep], sizes[keep], df[keep]
-    order = np.lexsort((hashes, ids))
-    hashes, ids, sizes, df = hashes[order], ids[order], sizes[order], df[order]
-    docs, at = np.unique(ids, return_index=True)
-    ends = np.concatenate([at[1:], [len(ids)]])[: len(docs)]  # no shared shingle: no rows
-    return pa.table(
-        {
-            "doc_id": pa.array(docs, pa.int64()),
-            "size": pa.array(sizes[at] if len(at) else at, pa.int64()),
-            "hashes": pa.array([hashes[a:b].tobytes() for a, b in zip(at.tolist(), ends.tolist(), strict=True)], pa.binary()),
-            "freq": pa.array([df[a:b].astype("<i8").tobytes() for a, b in zip(at.tolist(), ends.tolist(), strict=True)], pa.binary()),
-        }
-    )
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answered(table: pa.Table) -> pa.Table:
+    """A fragment's answer to each slice, one packed row: of the shingles that another document has too, the hash, the
+    document's place in the slice and the document frequency.  Heads pass through."""
+    slices, places, raw = (table.column(c).to_pylist() for c in ("slice", "places", "hashes"))
+    if table.num_rows and table.column("frag")[0].as_py() < 0:
+        return pa.table({"slice": pa.array(slices, pa.int64()), "head": pa.array([True] * len(slices)), "places": pa.array(places, pa.binary()), "hashes": pa.array(raw, pa.binary()), "freq": pa.array([b""] * len(slices), pa.binary())})
+    lens = np.array([len(x) // 8 for x in raw], np.int64)
+    hashes = np.frombuffer(b"".join(raw), np.uint64)
+    at = np.frombuffer(b"".join(places), "<u2")
+    freq = _frequency(hashes)
+    out, ends = [], np.cumsum(lens).tolist()
+    for name, n, end in zip(slices, lens.tolist(), ends, strict=True):
+        keep = np.flatnonzero(freq[end - n : end] > 1) + (end - n)
+        if len(keep):
+            out.append((name, at[keep].tobytes(), hashes[keep].tobytes(), np.minimum(freq[keep], 2**32 - 1).astype("<u4").tobytes()))
+    columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+    return pa.table({"slice": pa.array(columns[0], pa.int64()), "head": pa.array([False] * len(out), pa.bool_()), "places": pa.array(columns[1], pa.binary()), "hashes": pa.array(columns[2], pa.binary()), "freq": pa.array(columns[3], pa.binary())})
+
+
+_ANSWER_SCHEMA = "slice long, head boolean, places binary, hashes binary, freq binary"
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """A fragment's answer without hashes: how many shared shingles each document of the slice has in it."""
+    found = _answered(table)
+    if not found.num_rows or found.column("head")[0].as_py():
+        return found
+    docs, counts = [], []
+    for raw in found.column("places").to_pylist():
+        place, n = np.unique(np.frombuffer(raw, "<u2"), return_counts=True)
+        docs.append(place.tobytes())
+        counts.append(n.astype("<u4").tobytes())
+    empty = pa.array([b""] * found.num_rows, pa.binary())
+    return pa.table({"slice": found.column("slice"), "head": found.column("head"), "places": pa.array(docs, pa.binary()), "hashes": empty, "freq": pa.array(counts, pa.binary())})
+
+
+def _headed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Ids and set sizes of a slice's documents, and the rows of its answers."""
+    head = table.column("head").to_pylist()
+    at = head.index(True)
+    ids = np.frombuffer(table.column("places")[at].as_py(), "<i8")
+    sizes = np.frombuffer(table.column("hashes")[at].as_py(), "<i8")
+    return ids, sizes, [k for k, x in enumerate(head) if not x]
+
+
+def _totals(table: pa.Table) -> pa.Table:
+    """Set size and number of shared shingles of each document of a slice."""
+    ids, sizes, rows = _headed(table)
+    shared = np.zeros(len(ids), np.int64)
+    for k in rows:
+        shared[np.frombuffer(table.column("places")[k].as_py(), "<u2")] += np.frombuffer(table.column("freq")[k].as_py(), "<u4")
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "size": pa.array(sizes, pa.int64()), "shared": pa.array(shared, pa.int64())})
+
+
+def _prefixes(table: pa.Table) -> pa.Table:
     """The shared part of each document's prefix: shingle, its document frequency, document, size, shingles after it
     in the document's order, and prio, which is least for documents whose shingles are common."""
-    for batch in batches:
-        out: list[list] = [[], [], [], [], [], []]
-        for doc, size, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "size", "parts")), strict=True):
-            h = np.frombuffer(b"".join(p["hashes"] for p in parts), np.uint64)
-            f = np.frombuffer(b"".join(p["freq"] for p in parts), "<i8")
-            own = size - len(h)  # shingles that no other document has come first
-            prefix = size - int(least_overlap(np.int64(size))) + 1 - own
-            if prefix > 0:
-                first = np.lexsort((h, f))[:prefix]
-                rest = size - own - 1 - np.arange(len(first))
-                prio = -float(np.log(f).sum()) / size
-                for column, values in zip(out, (h[first], f[first], np.full(len(first), doc), np.full(len(first), size), rest, np.full(len(first), prio)), strict=True):
-                    column.append(values)
-        if out[0]:
-            h, f, doc, size, rest, prio = (np.concatenate(c) for c in out)
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(f, pa.int64()), pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(rest, pa.int64()), pa.array(prio)], names=["shingle", "freq", "id", "size", "rest", "prio"])
+    ids, sizes, rows = _headed(table)
+    joined = lambda c, kind: np.frombuffer(b"".join(table.column(c)[k].as_py() for k in rows), kind)
+    place, h, f = joined("places", "<u2"), joined("hashes", np.uint64), joined("freq", "<u4").astype(np.int64)
+    order = np.lexsort((h, f, place))
+    place, h, f = place[order], h[order], f[order]
+    bounds = np.searchsorted(place, np.arange(len(ids) + 1))
+    own = sizes - np.diff(bounds)  # shingles that no other document has come first
+    length = np.clip(sizes - least_overlap(sizes) + 1 - own, 0, np.diff(bounds))
+    weight = np.bincount(place, np.log(f), len(ids))
+    doc = np.repeat(np.arange(len(ids)), length)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)
+    at = bounds[doc] + nth
+    columns = {"shingle": h[at].view(np.int64), "freq": f[at], "id": ids[doc], "size": sizes[doc], "rest": (sizes - own)[doc] - 1 - nth}
+    return pa.table({k: pa.array(x, pa.int64()) for k, x in columns.items()} | {"prio": pa.array(-weight[doc] / sizes[doc], pa.float64())})
 
 
 _EDGES = np.array([(k << 64) // PARTS for k in range(PARTS)], dtype=np.uint64)
@@ -242,6 +258,11 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return total.where(F.col("both") * DEN >= NUM * (F.col("sa") + F.col("sb") - F.col("both"))).select("a", "b", (F.col("both") / (F.col("sa") + F.col("sb") - F.col("both"))).alias("jaccard"))
 
 
+def _salt(frag: str) -> Column:
+    """Deals heads, which need nobody's company, to groups of their own."""
+    return F.when(F.col(frag) < 0, F.pmod("slice", F.lit(256))).otherwise(F.lit(0)).alias("salt")
+
+
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of every row."""
     given = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -259,10 +280,10 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     copies = saved(keyed.join(least, ["k1", "k2"]).where("doc_id != rep").select("doc_id", "rep"), "copies")
     texts = rows.join(bounded(copies.select("doc_id")), "doc_id", "left_anti")
 
-    # 2. shared shingles by fragment
+    # 2. shared shingles by fragment, answered to each slice of documents in one row
     frags = texts.mapInArrow(_text_fragments(fragments), _FRAGMENT_SCHEMA)
-    counted = frags.groupBy("frag").applyInArrow(_shared_counts, "doc_id long, size long, shared long")
-    sizes = saved(counted.groupBy("doc_id").agg(F.max("size").alias("size"), F.sum("shared").alias("shared")), "sizes")
+    counted = frags.groupBy("frag", _salt("frag")).applyInArrow(_counted, _ANSWER_SCHEMA)
+    sizes = saved(counted.groupBy("slice").applyInArrow(_totals, "doc_id long, size long, shared long"), "sizes")
     left = saved(sizes.where((F.col("shared") * DEN >= NUM * F.col("size")) & (F.col("size") > 0)).select("doc_id"), "left")
 
     # 3. equal sets, document frequencies, prefixes and buckets
@@ -270,11 +291,9 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     heads = sets.groupBy("digest").agg(F.min("id").alias("head"))
     same = saved(sets.select("id", "digest").join(heads, "digest").where("id != head").select("id", "head"), "same")
     sole = sets.join(same.select("id"), "id", "left_anti")
-    # as few fragments as the rest needs: a document has a row for each fragment that it has shared shingles in
-    few = max(1, -(-(sole.agg(F.sum("size").alias("n")).first()["n"] or 0) // FRAGMENT))
-    lists = sole.select("id", "shingles").mapInArrow(_set_fragments(few), _FRAGMENT_SCHEMA).groupBy("frag").applyInArrow(_df_lists, "doc_id long, size long, hashes binary, freq binary")
-    gathered = lists.groupBy("doc_id").agg(F.max("size").alias("size"), F.collect_list(F.struct("hashes", "freq")).alias("parts"))
-    posts = saved(gathered.mapInArrow(_prefixes, "shingle long, freq long, id long, size long, rest long, prio double"), "posts")
+    fewer = max(1, -(-(sole.agg(F.sum("size").alias("n")).first()["n"] or 0) // FRAGMENT))
+    lists = sole.select("id", "shingles").mapInArrow(_set_fragments(fewer), _FRAGMENT_SCHEMA).groupBy("frag", _salt("frag")).applyInArrow(_answered, _ANSWER_SCHEMA)
+    posts = saved(lists.groupBy("slice").applyInArrow(_prefixes, "shingle long, freq long, id long, size long, rest long, prio double"), "posts")
     # of equal posting lists the first shingle stays: hashes order as unsigned numbers
     signed = posts.groupBy("shingle").agg(F.min("freq").alias("freq"), F.min(F.col("shingle").bitwiseXOR(F.lit(-(1 << 63)))).alias("order"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s1"), F.expr("bit_xor(xxhash64(id, 7))").alias("s2"))
     chosen = signed.where("n > 1").groupBy("n", "s1", "s2").agg(F.min(F.struct("freq", "order", "shingle")).alias("first")).select("first.shingle")
