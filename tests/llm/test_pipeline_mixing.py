@@ -67,6 +67,28 @@ def test_budget_and_blocks(spark, tmp_path):
         assert sorted(x["place"] for x in cut if x["block"] == b) == list(range(1, 1 + sum(x["block"] == b for x in cut)))
 
 
+def test_budget_beyond_the_repetition_limit_is_short_and_says_so(spark, tmp_path):
+    """Blocks follow the tokens placed, and sources at their cap keep their own shares."""
+    rows = [(i, " ".join("w" for _ in range(30)), "ab"[i % 2]) for i in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    with pytest.warns(UserWarning, match="6000 of 30000 tokens"):
+        out = mixing.mix(frame, max_repeats=2.0, budget=30_000, block_tokens=1000).collect()
+    blocks = Counter()
+    for x in out:
+        blocks[x["block"]] += x["n_tokens"]
+    assert sum(blocks.values()) == 6000 and len(blocks) == 6 and max(blocks.values()) <= 1100
+
+
+def test_running_sums_in_two_levels(spark, monkeypatch):
+    """Small buckets, so that names have several digits, against one bucket."""
+    r = random.Random(12)
+    rows = [(i, " ".join("w" for _ in range(r.randint(1, 20))), "hot" if i % 5 else "cold") for i in range(800)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    whole = sorted(map(tuple, mixing.mix(frame, block_tokens=700).collect()))
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 3)
+    assert sorted(map(tuple, mixing.mix(frame, block_tokens=700).collect())) == whole
+
+
 def test_mixing_of_odd_rows(docs, empty, rows, spark):
     assert mixing.mix(empty).count() == 0 and mixing.repeated(empty).count() == 0
     out = mixing.repeated(docs)

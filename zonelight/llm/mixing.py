@@ -4,7 +4,8 @@ Source shares p of the tokens become weights p^a / sum p^a.  The exponent a is b
 entropy reaches ``entropy`` of the greatest possible, but no smaller than the repetition limit allows, which
 is the least a at which no source repeats more than ``max_repeats`` times.  Without a token budget the
 source that is wanted least counts once, so every document stays; others repeat in whole epochs and part of
-one more.  With a budget sources may also be cut.  An epoch is a permutation of its source by hash; a part
+one more.  With a budget sources may also be cut; one beyond what the limit allows is not reached, which a warning
+tells, and blocks are sized by the tokens placed.  An epoch is a permutation of its source by hash; a part
 epoch is the longest prefix of the permutation within what is left of the source's budget.  The epochs of all
 sources advance together through blocks of about ``block_tokens``, each permuted by hash, so every block
 has the target weights.
@@ -20,6 +21,7 @@ through ``repeated``.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -84,7 +86,10 @@ def repeat_exponent(ratio: float, limit: float) -> float:
 def weights(light: DataFrame, entropy: float = ENTROPY, max_repeats: float = MAX_REPEATS, budget: int | None = None) -> tuple[DataFrame, float]:
     """(source, total, weight, repeats) of every source, and the tokens of the mixture.
 
-    The driver holds a few numbers; sources stay in a table however many there are.
+    Under a budget that the repetition limit keeps out of reach the mixture is short: capped sources miss their
+    weights, and where all are capped the weights are the sources' own shares.  The tokens returned are those that the
+    plan places, and a warning tells the shortfall.  The driver holds a few numbers; sources stay in a table however
+    many there are.
     """
     totals = saved(light.groupBy("source").agg(F.sum("n_tokens").alias("total")), "sources")
     known = totals.where("total > 0")
@@ -102,7 +107,24 @@ def weights(light: DataFrame, entropy: float = ENTROPY, max_repeats: float = MAX
     repeats = F.least(F.lit(float(max_repeats)), F.greatest(F.lit(1.0), repeats) if budget is None else repeats)
     all_shares = totals.withColumn("share", F.when(F.col("total") > 0, F.col("total") / F.lit(float(row["t"]))))
     out = all_shares.select("source", "total", F.coalesce(F.round(weight, 9), F.lit(0.0)).alias("weight"), F.when(F.col("total") > 0, repeats).otherwise(F.lit(1.0)).alias("repeats"))
-    return saved(out, "weights"), tokens
+    plan = saved(out, "weights")
+    if budget is not None:
+        tokens = plan.agg(F.sum(F.col("repeats") * F.col("total"))).first()[0]
+        if tokens < 0.999 * budget:
+            warnings.warn(f"the mixture holds {tokens:.0f} of {budget} tokens: no source may repeat more than {max_repeats:g} times", stacklevel=2)
+    return plan, tokens
+
+
+def _bases(sums: DataFrame, upper: int) -> DataFrame:
+    """(s, e, b, base): the tokens of an epoch before each bucket, in two levels, so that the buckets of a hot source
+    are summed in as many groups as a bucket name's first ``upper`` digits tell apart."""
+    sums = sums.withColumn("top", F.substring("bucket", 1, upper))
+    tops = sums.groupBy("source", "epoch", "top").agg(F.sum("in_bucket").alias("in_top"))
+    before = lambda what, over: F.coalesce(F.sum(what).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = tops.select(F.col("source").alias("s"), F.col("epoch").alias("e"), F.col("top").alias("t"), before("in_top", Window.partitionBy("source", "epoch").orderBy("top")).alias("above"))
+    low = sums.withColumn("inner", before("in_bucket", Window.partitionBy("source", "epoch", "top").orderBy("bucket")))
+    both = low.join(tops, F.col("source").eqNullSafe(F.col("s")) & (F.col("epoch") == F.col("e")) & (F.col("top") == F.col("t")))
+    return both.select("s", "e", F.col("bucket").alias("b"), (F.col("above") + F.col("inner")).alias("base"))
 
 
 def _placed(light: DataFrame, plan: DataFrame, rows: int) -> DataFrame:
@@ -110,9 +132,7 @@ def _placed(light: DataFrame, plan: DataFrame, rows: int) -> DataFrame:
     digits = 1 if rows <= BUCKET_ROWS else math.ceil(math.log(rows / BUCKET_ROWS, 16)) + 1
     epochs = light.join(bounded(plan), light["source"].eqNullSafe(plan["source"])).select("doc_id", light["source"], "n_tokens", "tkey", "total", "repeats", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil("repeats").cast("int")) - 1)).alias("epoch"))
     keyed = epochs.withColumn("key", _key(F.col("epoch"))).withColumn("bucket", F.substring("key", 1, digits))
-    sums = keyed.groupBy("source", "epoch", "bucket").agg(F.sum("n_tokens").alias("in_bucket"))
-    before = F.sum("in_bucket").over(Window.partitionBy("source", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select(F.col("source").alias("s"), F.col("epoch").alias("e"), F.col("bucket").alias("b"), F.coalesce(before, F.lit(0)).alias("base"))
+    sums = _bases(keyed.groupBy("source", "epoch", "bucket").agg(F.sum("n_tokens").alias("in_bucket")), (digits + 1) // 2)
     within = F.sum("n_tokens").over(Window.partitionBy("source", "epoch", "bucket").orderBy("key", "tkey").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     both = keyed.withColumn("upto", within).join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("epoch") == F.col("e")) & (F.col("bucket") == F.col("b")))
     both = both.withColumn("upto", F.col("upto") + F.col("base"))
