@@ -29,7 +29,7 @@ from ._text import WordCache, Words, documents, ragged_take, row_slices, string_
 
 VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 1_000_000
-#: Words beyond this many parts are merged one by one with the same steps.
+#: Words beyond this many parts are not padded to rows of a matrix but take the same steps by themselves.
 ROW_PARTS = 40
 NO_RANK = np.int32(2**31 - 1)
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
@@ -139,29 +139,33 @@ class RankBPE:
             ids[alive], rank[alive] = row, row_rank
         return ids, lens
 
-    def merge_one(self, ids: np.ndarray) -> np.ndarray:
-        """The same steps for one long word; the lowest rank comes from a heap of boundaries, as scans would be quadratic."""
-        import heapq
-
-        n = len(ids)
-        ids, nxt, prv, live = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        rank = self.ranks(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64)).tolist() + [int(NO_RANK)]
-        heap = [(r, i) for i, r in enumerate(rank) if r != NO_RANK]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if not live[i] or rank[i] != r:
-                continue
-            j = nxt[i]
-            ids[i], live[j], nxt[i] = int(self.made_by_rank[r]), False, nxt[j]
-            if nxt[j] < n:
-                prv[nxt[j]] = i
-            for a in (i, prv[i]):
-                if a >= 0:
-                    rank[a] = int(self.ranks(np.array([ids[a]]), np.array([ids[nxt[a]]]))[0]) if nxt[a] < n else int(NO_RANK)
-                    if rank[a] != NO_RANK:
-                        heapq.heappush(heap, (rank[a], a))
-        return np.array([x for x, ok in zip(ids, live, strict=True) if ok], np.int32)
+    def merge_long(self, ids: np.ndarray) -> np.ndarray:
+        """The same steps for one long word: its contiguous array of ranks is scanned for the lowest, and all boundaries
+        of that rank go in one pass, left before right where two overlap.
+
+        Where a neighbouring rank would come out as low, only the first goes, so the order is that of single steps.
+        There are at most as many passes as ranks, so the cost is linear in the length of the word.
+        """
+        ids = ids.astype(np.int32, copy=True)
+        rank = self.ranks(ids[:-1], ids[1:])
+        while len(rank) and (low := rank.min()) != NO_RANK:
+            at = np.flatnonzero(rank == low)
+            if len(at) > 1:
+                place = np.arange(len(at))
+                begins = np.concatenate(([True], np.diff(at) != 1))
+                at = at[(place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0]
+            made = self.made_by_rank[low]
+            if len(at) > 1:
+                left, right = at[at > 0], at[at + 2 < len(ids)]
+                near = np.concatenate([self.ranks(ids[left - 1], np.full(len(left), made)), self.ranks(np.full(len(right), made), ids[right + 2])])
+                if len(near) and near.min() <= low:
+                    at = at[:1]
+            ids[at] = made
+            ids, rank = np.delete(ids, at + 1), np.delete(rank, at)
+            new = at - np.arange(len(at))
+            stale = np.unique(np.concatenate([new[new < len(rank)], new[new > 0] - 1]))
+            rank[stale] = self.ranks(ids[stale], ids[stale + 1])
+        return ids
 
     def split(self, text: str) -> list[str]:
         """Normalised short words of a piece of text without special tokens."""
@@ -194,7 +198,7 @@ class RankBPE:
                 b = flat[starts[i] : starts[i] + lens[i]]
                 ids = self.byte_id[b].copy()
                 ids[-1] = self.last_id[b[-1]]
-                done[i] = self.merge_one(ids)
+                done[i] = self.merge_long(ids)
                 at += 1
                 continue
             upto = min(upto, at + 20_000)
