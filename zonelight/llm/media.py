@@ -7,8 +7,7 @@ stream whose ``patch`` column is a fixed-shape tensor, beside the patches' time
 
 Defined results: a null payload counts as empty; the payload is padded with zero bytes to a positive
 multiple of 64, so an empty text has 64 samples.  Repeated rows give repeated rows, an empty table
-an empty result.  Columns other than the named ones pass through ``encode_media`` untouched; a column
-named ``media`` or ``n_bytes`` there is replaced.  Signals are walked in blocks: memory is bounded by one
+an empty result.  ``encode_media`` reads the id and the text and returns three columns; other columns are not read.  Signals are walked in blocks: memory is bounded by one
 payload and its features.
 """
 
@@ -202,9 +201,8 @@ def audio_features(media: DataFrame) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The media table is written, read back and described."""
-    media = saved(encode_media(documents(spark, sf_dir)), "media")
-    return audio_features(media).drop("tensors", "spans")
+    """The media table is written, read back and described: digests, tensors of log-mel patches, time spans."""
+    return audio_features(saved(encode_media(documents(spark, sf_dir)), "media"))
 
 
 QUERIES = {"op4_media_columns": op4_media_columns}
