@@ -11,7 +11,8 @@ same column expressions as the corpus's.  Fitting and calibration take place on
 alone; the fitted trees are one SQL expression.
 
 Spans are in code points, end exclusive.  Patterns are written so that they scan in linear time and without
-recursion: a run is entered at its start only (or where the match before ended) and left possessively.
+recursion: a run is entered at its start only (or where the match before ended) and left possessively.  Spans are
+selected in passes over sorted arrays, in blocks, so a text of very many spans costs little more than its length.
 Defined results: a null text counts as empty and has no span; repeated rows give repeated rows; an empty
 table gives an empty result; columns whose names clash with working columns pass through ``redact``.
 """
@@ -219,6 +220,36 @@ def fit(spark: SparkSession, n: int = TRAIN_ROWS) -> Boosted:
     return Boosted(x, np.array([r["k"] for r in got]), np.array([r["y"] for r in got], float), names)
 
 
+_SPAN = "struct<start: int, rank: int, end: int, kind: string, p: double>"
+
+
+def _folded(array: str, start: str, step: str, emit: str) -> str:
+    """(s, out): a pass over an array of spans c with a state s, and the spans that it emits, in order.
+
+    Blocks keep the cost of building the array linear in practice.
+    """
+    none = f"cast(array() AS array<{_SPAN}>)"
+    inner = f"aggregate(slice({array}, b * {BLOCK} + 1, {BLOCK}), named_struct('s', o.s, 'out', {none}), (a, c) -> transform(array(a.s), s -> named_struct('s', {step}, 'out', concat(a.out, {emit})))[0])"
+    block = f"transform(array({inner}), x -> named_struct('s', x.s, 'out', concat(o.out, array(x.out))))[0]"
+    return f"aggregate(sequence(0, cast((size({array}) - 1) DIV {BLOCK} AS int)), named_struct('s', {start}, 'out', cast(array() AS array<array<{_SPAN}>>)), (o, b) -> {block}, o -> named_struct('s', o.s, 'out', flatten(o.out)))"
+
+
+def _selected(base: str, likely: str) -> str:
+    """Of the likely candidates those that overlap no base span, and of overlapping ones the likelier.
+
+    One pass in order of start drops what begins inside a base span, one in reverse what ends beyond the next one's
+    start; in a third an overlapping candidate replaces the one before it only if it is likelier.
+    """
+    ranked = lambda spans, rank, kind, p: f"transform({spans}, c -> named_struct('start', c.start, 'rank', {rank}, 'end', c.end, 'kind', {kind}, 'p', {p}))"
+    none = f"cast(array() AS array<{_SPAN}>)"
+    merged = f"array_sort(concat({ranked(base, 0, 'c.kind', '2D')}, {ranked(likely, 1, 'c.kind', 'c.p')}))"
+    forward = _folded("m", "-1", "IF(c.rank = 0, greatest(s, c.end), s)", f"IF(c.rank = 1 AND c.start < s, {none}, array(c))")
+    backward = _folded("f", "2147483647", "IF(c.rank = 0, c.start, s)", f"IF(c.rank = 0 OR c.end > s, {none}, array(c))")
+    sweep = _folded("k", f"cast(null AS {_SPAN})", "CASE WHEN s IS NULL OR s.end <= c.start OR c.p > s.p THEN c ELSE s END", f"IF(s.end <= c.start, array(s), {none})")
+    free = f"transform(transform(array({merged}), m -> reverse({forward}.out)), f -> reverse({backward}.out))"
+    return f"transform(transform({free}, k -> {sweep}), w -> IF(w.s IS NULL, w.out, concat(w.out, array(w.s))))[0]"
+
+
 def find(df: DataFrame, text_col: str = "text", model: Boosted | None = None) -> DataFrame:
     """df with _base and _added (which replace columns of these names): arrays of (kind, start, end), each by kind as listed, then start."""
     model = model or fit(df.sparkSession)
@@ -229,10 +260,7 @@ def find(df: DataFrame, text_col: str = "text", model: Boosted | None = None) ->
     out = out.withColumns({f"_f_{k}": F.expr(f"CASE WHEN size(_{k}) > 0 THEN {_featured(f'_{k}')} END") for k in LOOSE})
     scored = [f"coalesce(filter(transform(_f_{k}, c -> named_struct('start', c.start, 'end', c.end, 'kind', '{k}', 'p', {model.sql()})), c -> c.p >= {model.thresholds[k]}D), array())" for k in LOOSE]
     out = out.withColumn("_likely", F.expr(f"array_sort(concat({', '.join(scored)}))"))
-    out = out.withColumn("_likely", F.expr("filter(_likely, c -> NOT exists(_base, x -> x.start < c.end AND c.start < x.end))"))
-    # in order of start, an overlapping candidate replaces the one before it only if it is likelier
-    sweep = "aggregate(_likely, slice(_likely, 1, 0), (a, c) -> CASE WHEN size(a) = 0 OR a[size(a) - 1].end <= c.start THEN concat(a, array(c)) WHEN c.p > a[size(a) - 1].p THEN concat(slice(a, 1, size(a) - 1), array(c)) ELSE a END)"
-    out = out.withColumn("_swept", F.expr(f"CASE WHEN size(_likely) > 0 THEN {sweep} ELSE _likely END"))
+    out = out.withColumn("_swept", F.expr(f"CASE WHEN size(_likely) > 0 THEN {_selected('_base', '_likely')} ELSE cast(array() AS array<{_SPAN}>) END"))
     out = out.withColumn("_added", F.concat(*[F.expr(f"transform(filter(_swept, c -> c.kind = '{k}'), c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end))") for k in LOOSE]))
     return out.select(*[F.col("row").getField(c).alias(c) for c in names], "_base", "_added")
 
@@ -241,7 +269,11 @@ def redact(df: DataFrame, text_col: str = "text", model: Boosted | None = None)
     """df with every found span of its text replaced by its kind in angle brackets; overlapping spans count as one."""
     whole = df.select(F.struct(*df.columns).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     out = find(whole, "t", model).withColumn("spans", F.expr("array_sort(transform(concat(_base, _added), c -> named_struct('start', c.start, 'end', c.end, 'kind', c.kind)))"))
-    new = F.expr("aggregate(spans, named_struct('pos', 0, 'out', cast(array() AS array<string>)), (a, c) -> IF(c.end <= a.pos, a, IF(c.start < a.pos, named_struct('pos', c.end, 'out', a.out), named_struct('pos', c.end, 'out', concat(a.out, array(substring(t, a.pos + 1, c.start - a.pos), concat('<', c.kind, '>')))))), a -> concat(array_join(a.out, ''), substring(t, a.pos + 1)))")
+    # blocks of spans, each over its own piece of the text
+    some, part = f"slice(spans, b * {BLOCK} + 1, {BLOCK})", "cast(array() AS array<string>)"
+    inner = f"aggregate({some}, named_struct('pos', o.pos, 'out', {part}), (a, c) -> IF(c.end <= a.pos, a, IF(c.start < a.pos, named_struct('pos', c.end, 'out', a.out), named_struct('pos', c.end, 'out', concat(a.out, array(substring(piece, a.pos - o.pos + 1, c.start - a.pos), concat('<', c.kind, '>')))))))"
+    block = f"transform(transform(array(substring(t, o.pos + 1, array_max(transform({some}, c -> c.end)) - o.pos)), piece -> {inner}), x -> named_struct('pos', x.pos, 'out', concat(o.out, array(array_join(x.out, '')))))[0]"
+    new = F.expr(f"aggregate(sequence(0, cast((size(spans) - 1) DIV {BLOCK} AS int)), named_struct('pos', 0, 'out', {part}), (o, b) -> {block}, o -> concat(array_join(o.out, ''), substring(t, o.pos + 1)))")
     return out.select(F.col("row").withField(text_col, F.when(F.size("spans") > 0, new).otherwise(F.col("row").getField(text_col))).alias("row")).select("row.*")
 
 
