@@ -181,6 +181,51 @@ def test_sparse_sites_shrink_to_their_hosts(spark):
     assert abs(by[800]["p_host"] - mean) < 1e-6  # nothing but its own evidence, which is left out
 
 
+def test_posteriors_equal_a_direct_computation(spark):
+    """Site counts, strengths by moments, leave-one-out shrinkage and odds, recomputed row by row."""
+    r = random.Random(31)
+    rows = []
+    for h in ["a.org", "b.net", "c.com", None, *(f"s{k}.io" for k in range(30))]:
+        level = r.random()
+        for _ in range(1 if h and h.endswith(".io") else 60):
+            rows.append((h, r.choice(["x", "y", None]), min(0.999, max(0.001, r.gauss(level, 0.15)))))
+    scores = spark.createDataFrame([(i, 0, h, p, v, 0.0) for i, (h, p, v) in enumerate(rows)], "doc_id long, tkey long, host string, path string, p_doc double, p_toxic double")
+    got = {x["doc_id"]: x for x in quality.posteriors(scores).collect()}
+    mean = sum(v for *_, v in rows) / len(rows)
+    paths, hosts = {}, {}
+    for h, p, v in rows:
+        for table, key in ((paths, (h, p)), (hosts, h)):
+            n, s = table.get(key, (0, 0.0))
+            table[key] = n + 1, s + v
+
+    def strength(sites):  # of (n, s, expected mean)
+        var, full, noise = (sum(f(*x) for x in sites) / len(sites) for f in (lambda n, s, m: (s / n - m) ** 2, lambda n, s, m: m * (1 - m), lambda n, s, m: m * (1 - m) / n))
+        return min(1e5, max(1.0, full / max(var - noise, 1e-6) - 1))
+
+    kh = strength([(n, s, mean) for n, s in hosts.values()])
+    kp = strength([(n, s, (hosts[h][1] + kh * mean) / (hosts[h][0] + kh)) for (h, _), (n, s) in paths.items()])
+    logit = lambda p: math.log(p / (1 - p))
+    for i, (h, p, v) in enumerate(rows):
+        host = (hosts[h][1] - v + kh * mean) / (hosts[h][0] - 1 + kh)
+        path = (paths[h, p][1] - v + kp * host) / (paths[h, p][0] - 1 + kp)
+        odds = logit(v) - logit(mean) + logit(path)
+        assert got[i]["p_host"] == pytest.approx(host, abs=1e-6) and got[i]["p_path"] == pytest.approx(path, abs=1e-6)
+        assert got[i]["posterior"] == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-6)
+    sparse = [i for i, (h, *_) in enumerate(rows) if h and h.endswith(".io")]
+    assert all(abs(got[i]["p_host"] - mean) < 1e-6 for i in sparse)  # a site of one document says nothing of it
+
+
+def test_sites_of_urls(spark):
+    urls = ["https://A.example.com:80/news/today/x.html?q=/a/", "http://u@b.org/page", "c.net/x/y", None, "https://d.de", "ftp://e.fr/dir/"]
+    host, path = quality.site(F.col("url"))
+    got = spark.createDataFrame([(u,) for u in urls], "url string").select(host.alias("h"), path.alias("p")).collect()
+    assert [tuple(x) for x in got] == [("a.example.com", "news"), ("b.org", None), (None, None), (None, None), ("d.de", None), ("e.fr", "dir")]
+    docs, labels = quality_rows(200)
+    frame = spark.createDataFrame([(d, t, f"https://h{d % 3}.org/p{d % 2}/x") for d, t, *_ in docs], "doc_id long, text string, url string")
+    seen = quality.classify(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), url_col="url")
+    assert {(x["host"], x["path"]) for x in seen.select("host", "path").distinct().collect()} == {(f"h{a}.org", f"p{b}") for a in range(3) for b in range(2)}
+
+
 def test_quality_of_odd_rows(docs, empty, rows, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.classify(docs, none).where("keep").count() == len(rows)
@@ -211,6 +256,67 @@ def test_media_round_trip(docs, rows, empty):
     assert media.encode_media(empty).count() == 0
 
 
+def plain_log_mel(raw):
+    """The filterbank by its definition: zero-stuffed convolution, one frame and one mel band at a time."""
+    up, down, taps = media.UP, media.DOWN, media.TAPS
+    x = np.frombuffer(raw, np.uint8).astype(float) - 128
+    n = np.arange(up * taps) - (up * taps - 1) / 2
+    h = np.sinc(n / max(up, down)) / max(up, down) * up * np.hamming(len(n))
+    out = np.zeros(-(-len(x) * up // down) + 2 * media.FRAME + media.HOP)
+    for t in range(len(out)):
+        k, p = divmod(t, up)
+        first = down * k + down * p // up - taps // 2
+        for j in range(taps):  # phase p holds every up-th coefficient
+            i = first + j
+            if 0 <= i < len(x):
+                out[t] += x[i] * h.reshape(taps, up).T[:, ::-1].T[j, p]
+    frames = max(1, 1 + -(-max(0, -(-len(x) * up // down) - media.FRAME) // media.HOP))
+    rate, window = media.RATE * up / down, np.hanning(media.FRAME)
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(rate / 2) * m / (media.MELS + 1) / 2595) - 1) for m in range(media.MELS + 2)]
+    got = np.zeros((frames, media.MELS))
+    for f in range(frames):
+        power = np.abs(np.fft.rfft(out[f * media.HOP : f * media.HOP + media.FRAME] * window)) ** 2
+        for m in range(media.MELS):
+            low, mid, high = edges[m : m + 3]
+            total = 0.0
+            for b, value in enumerate(power):
+                freq = rate / 2 * b / (media.FRAME // 2)
+                total += value * max(0.0, min((freq - low) / (mid - low), (high - freq) / (high - mid)))
+            got[f, m] = 160 * math.log10(total + 1e-3)
+    return got
+
+
+def plain_spans(level):
+    """Hysteresis one frame at a time: open above the first level, close after HANG frames in a row below the second."""
+    level = level - np.median(level)
+    out, t = [], 0
+    while t < len(level):
+        if level[t] <= media.OPEN_DB:
+            t += 1
+            continue
+        start, quiet, t, end = t, 0, t + 1, len(level)
+        while t < len(level):
+            quiet = quiet + 1 if level[t] < media.CLOSE_DB else 0
+            t += 1
+            if quiet == media.HANG:
+                end = t - media.HANG
+                break
+        out.append((start, end))
+        t = end if end < len(level) else len(level)
+    return out
+
+
+def test_features_equal_their_definitions():
+    r = random.Random(17)
+    for raw in [b"\0" * 64, bytes(r.randrange(256) for _ in range(900)), ("the quiet part " * 40 + "LOUD ~~~ 9999 " * 20 + " " * 300 + "end of it " * 30).encode().ljust(1280, b"\0")]:
+        mel, want = media.log_mel(np.frombuffer(raw, np.uint8)), plain_log_mel(raw)
+        assert mel.shape == want.shape
+        strong = want > -160  # below, single precision rounds
+        assert np.abs(mel - want)[strong].max(initial=0) <= 2
+        assert media.energy_spans(mel) == plain_spans(mel.astype(float).sum(axis=1) / (16 * media.MELS))
+
+
 def test_resampling_keeps_tones_and_removes_what_would_fold():
     t = np.arange(16_000) / media.RATE
     tone = lambda f: np.round(128 + 100 * np.sin(2 * np.pi * f * t)).astype(np.uint8)
@@ -293,6 +399,51 @@ def test_added_spans_and_redaction(spark, judge, empty, docs):
     assert pii.redact(docs, "text", judge).columns == docs.columns
 
 
+def plain_selection(base, likely):
+    """Candidates free of base spans, in order; an overlapping one replaces the one before it only if it is likelier."""
+    free = sorted(c for c in likely if not any(b[0] < c[1] and c[0] < b[1] for b in base))
+    kept = []
+    for c in free:
+        if not kept or kept[-1][1] <= c[0]:
+            kept.append(c)
+        elif c[3] > kept[-1][3]:
+            kept[-1] = c
+    return [c[:3] for c in kept]
+
+
+def test_selection_of_spans_equals_brute_force(spark):
+    r = random.Random(23)
+    rows = []
+    for i in range(120):
+        n = r.choice([0, 1, 5, 40, 700])
+        span = lambda: (lambda a: (a, a + r.randint(1, 30)))(r.randint(0, 8 * n + 1))
+        rows.append((i, [span() for _ in range(r.randint(0, n))], [(*span(), r.choice(pii.LOOSE), r.randint(1, 9) / 10) for _ in range(n)]))
+    frame = spark.createDataFrame([(i, [(a, b, "email") for a, b in base], likely) for i, base, likely in rows], "i int, base array<struct<start: int, end: int, kind: string>>, likely array<struct<start: int, end: int, kind: string, p: double>>")
+    got = {x["i"]: [(c["start"], c["end"], c["kind"]) for c in x["got"]] for x in frame.select("i", F.expr(pii._selected("base", "likely")).alias("got")).collect()}
+    for i, base, likely in rows:
+        assert got[i] == plain_selection(base, likely), i
+
+
+def test_texts_of_very_many_spans_take_linear_time(spark, judge):
+    """Emails and tokens in turn, four and sixteen thousand of each: times the spans, times the seconds at most thrice over."""
+    import time
+
+    def seconds(n):
+        text = " ".join(f"u{k}@x.org Ab{k:06d}cdEFgh1234567890xyzQ" for k in range(n))
+        frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        t = time.time()
+        found = pii.find(frame, "text", judge).first()
+        took = time.time() - t
+        assert len(found["_base"]) == n
+        out = pii.redact(frame, "text", judge).first()["text"]
+        assert out.count("<email>") == n
+        return took
+
+    seconds(100)
+    small, large = seconds(4000), seconds(16_000)
+    assert large < 12 * max(small, 0.5)
+
+
 def test_trees_on_held_out_rows(judge):
     kind, truth, prob = judge.held
     for k, name in enumerate(pii.LOOSE):
@@ -323,6 +474,40 @@ def test_encoding_equals_the_library(library):
         assert coder.decode(ids[bounds[i] : bounds[i + 1]]) == library.decode(want, skip_special_tokens=False)
 
 
+def test_long_words_merge_as_the_library_does(library):
+    """Words far beyond a matrix row, of few letters so that occurrences overlap, and one of a hundred thousand."""
+    r = random.Random(6)
+    words = ["".join(r.choice(a) for _ in range(n)) for a in ("ab", "aab", "etaoin", "abcdefghijklmnopqrstuvwxyz") for n in (41, 200, 3000)] + ["a" * 999, "ha" * 777, "é" * 300]
+    words.append("".join(r.choice("etaoinshrdlu") for _ in range(100_000)))
+    coder = bpe.RankBPE(bpe.vocabulary_path())
+    for w, got in zip(words, coder.encode_words(words), strict=True):
+        assert got.tolist() == library.encode(w, add_special_tokens=False).ids
+
+
+def test_one_pass_of_merges_keeps_the_order_of_single_steps():
+    """A made-up vocabulary in which a merge makes a pair of lower rank: occurrences must then go one by one."""
+    coder = bpe.RankBPE.__new__(bpe.RankBPE)
+    # letters a b c; rank 0: ab+a, 1: a+b -> ab
+    table = {(3, 0): 0, (0, 1): 1, (0, 3): 2}
+    made = np.array([4, 3, 5], np.int32)
+    coder.made_by_rank = made
+    coder.ranks = lambda x, y: np.array([table.get((int(a), int(b)), int(bpe.NO_RANK)) for a, b in zip(x, y, strict=True)], np.int32)
+
+    def single(ids):
+        ids = list(ids)
+        while True:
+            rank = [table.get(p, 99) for p in zip(ids[:-1], ids[1:], strict=True)]
+            if not rank or min(rank) == 99:
+                return ids
+            k = rank.index(min(rank))
+            ids[k : k + 2] = [int(made[min(rank)])]
+
+    r = random.Random(8)
+    for _ in range(300):
+        ids = [r.randrange(3) for _ in range(r.randint(1, 30))]
+        assert coder.merge_long(np.array(ids, np.int32)).tolist() == single(ids)
+
+
 def test_bpe_operator(docs, rows, empty, library):
     got = Counter((x["doc_id"], x["n_tokens"], bytes(x["ids"]), x["decoded"]) for x in bpe.encode_decode(docs).collect())
     want = Counter()
@@ -423,6 +608,42 @@ def test_next_documents(docs, rows, empty, spark):
     assert len(fingerprints.fingerprint_column(docs).collect()) == len(rows)
 
 
+def plain_print(text):
+    """A fingerprint one shingle and one bin at a time."""
+    shingles = shingle_sets(Words(*string_buffers(__import__("pyarrow").array([text]))), 5)[0].tolist()
+    if not shingles:
+        return [0] * fingerprints.BINS
+    mix = lambda x: int(fingerprints.mix64(np.array([x], np.uint64))[0])
+    bins = {}
+    for s in shingles:
+        h = mix(s)
+        k, v = (h >> 56) % fingerprints.BINS, h & ((1 << 56) - 1)
+        bins[k] = min(v, bins.get(k, v))
+    out = []
+    for k in range(fingerprints.BINS):
+        at = k
+        for t in range(fingerprints._PROBES.shape[1]):
+            if at in bins or k in bins:
+                break
+            at = int(fingerprints._PROBES[k, t])
+        out.append(mix(bins[k if k in bins else at]) & 255)
+    return out if any(out) else [1] * len(out)
+
+
+def test_likeness_columns_equal_brute_force(docs, rows):
+    got = {(g["doc_id"], g["edited_sha256"]): g for g in fingerprints.with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 3).mapInArrow(fingerprints._compared, fingerprints.SCHEMA).collect()}
+    order = sorted(((r[0] is None, -(r[0] or 0), r[1] or "") for r in rows))
+    alike = lambda a, b: float(any(a) == any(b)) if not any(a) or not any(b) else min(1.0, max(0.0, (sum(x == y for x, y in zip(a, b, strict=True)) / 256 - 1 / 256) / (1 - 1 / 256)))
+    for k in range(0, len(order), 3):
+        unknown, d, t = order[k]
+        nxt = order[(k + 1) % len(order)][2]
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        g = got[None if unknown else -d, hashlib.sha256(edited.encode()).hexdigest()]
+        own, other, after = plain_print(t), plain_print(edited), plain_print(nxt)
+        assert g["fingerprint"] == bytes(own).hex() and g["edited_fingerprint"] == bytes(other).hex()
+        assert g["near_edited"] == pytest.approx(alike(own, other)) and g["near_next"] == pytest.approx(alike(own, after))
+
+
 def test_schema_of_helpers():
     assert json.dumps(SCHEMA)
 

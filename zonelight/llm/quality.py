@@ -8,7 +8,8 @@ sparse site says little.  A document's own evidence is left out of its site's.
 place of the global prior in the document's odds.  Documents with low odds of quality, or likely toxic, are
 rejected.
 
-Hosts and paths are columns: ``source`` and ``lang`` of the documents table.  Words are ``[^\\x20\\x09-\\x0D]+``
+Hosts and paths are columns, or the host and first folder of a URL column.  The documents table has no URLs: its
+``source`` stands for the host and its ``lang`` for the path.  Words are ``[^\\x20\\x09-\\x0D]+``
 with A-Z lower-cased.  Defined results: a null text counts as empty; a null host or path is a site of its own;
 labels without a quality are not used and a missing toxic label counts as 0; an id with several labels takes
 the least; without labels of both classes nothing is rejected on that ground; repeated rows are judged
@@ -211,11 +212,22 @@ def posteriors(scores: DataFrame) -> DataFrame:
     return out.withColumn("posterior", 1 / (1 + F.exp(-odds))).drop("h", "pa", "n", "s", "hn", "hs")
 
 
-def classify(df: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", least: float = 0.5, toxic: float = 0.5) -> DataFrame:
-    """doc_id, tkey (xxhash64 of the text), host, path, p_doc, p_toxic, p_host, p_path, posterior and keep of every row."""
+def site(url: Column) -> tuple[Column, Column]:
+    """Host (lower case, without port) and first folder of the path of a URL; null where there is none."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    folder = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1)
+    return F.nullif(host, F.lit("")), F.nullif(folder, F.lit(""))
+
+
+def classify(df: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", url_col: str | None = None, least: float = 0.5, toxic: float = 0.5) -> DataFrame:
+    """doc_id, tkey (xxhash64 of the text), host, path, p_doc, p_toxic, p_host, p_path, posterior and keep of every row.
+
+    With ``url_col`` the host and the first folder of that URL are host and path.
+    """
     model = fit(df, labels)
+    host, path = site(F.col(url_col).cast("string")) if url_col else (F.col(host_col).cast("string"), F.col(path_col).cast("string"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tkey"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), text.alias("text"))
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tkey"), host.alias("host"), path.alias("path"), text.alias("text"))
     scores = saved(rows.mapInArrow(_judged(model), "doc_id long, tkey long, host string, path string, p_doc double, p_toxic double"), "scores")
     return posteriors(scores).withColumn("keep", (F.col("posterior") >= least) & (F.col("p_toxic") < toxic))
 
