@@ -121,7 +121,7 @@ def with_next(df: DataFrame, n: int) -> DataFrame:
     first = placed.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("doc_id", "shards").agg(F.min("text").alias("text"))
     border = first.select("doc_id", "text", F.explode("shards").alias("shard"), F.lit(True).alias("border"))
     both = placed.select("doc_id", "text", "shard", F.lit(False).alias("border")).unionByName(border)
-    return both.repartition(n, "shard").sortWithinPartitions("shard", "border", F.desc_nulls_last("doc_id"), "text")
+    return both.repartitionById(n, "shard").sortWithinPartitions("shard", "border", F.desc_nulls_last("doc_id"), "text")
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

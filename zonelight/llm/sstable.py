@@ -262,7 +262,7 @@ def write_shards(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
         if writer:
             yield finish()
 
-    dealt = rows.withColumn("shard", range_of("doc_id", bounds)).repartition(n, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "text")
+    dealt = rows.withColumn("shard", range_of("doc_id", bounds)).repartitionById(n, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "text")
     found = {r["shard"]: r.asDict() for r in dealt.mapInArrow(run, META_SCHEMA).collect()}
     return [found[k] for k in sorted(found)]
 
