@@ -12,17 +12,19 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
-from ..functions import approx_count_distinct, get_json_object
+from ..functions import approx_count_distinct, get_json_object, register
 from ..operators.build import IndexField
-from ..operators.scan import ZoneTable
+from ..operators.rezone import rezone
+from ..operators.scan import ZoneTable, python_predicates
+from ..sources import synthetic
 from ..sources.files import data_files
 from ..sources.resolvers import FileListResolver, FixedIndex, ResolvedSnapshot
 from ..sources.snapshot import snapshot_table
-from .session import ZoneSession
+from .session import SessionConfig, ZoneSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -144,6 +146,73 @@ def contract_replay_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.run_contract(s.sql_to_contract("SELECT event_type, count(*) AS n, max(event_id) AS top FROM main.default.events GROUP BY event_type ORDER BY event_type")).df
 
 
+def _ranged(spark: SparkSession, sf_dir: str, what: str, *columns: Column | str) -> ZoneTable:
+    """Events in eight files of equal ranges of event_id, each one zone, with columns made from them, indexed."""
+    folder = f"{_index_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    events = spark.read.parquet(_uri(sf_dir, "events"))
+    ends = events.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
+    step = (ends["hi"] - ends["lo"]) // 8 + 1
+    part = F.floor((F.col("event_id") - ends["lo"]) / step)
+    events.withColumn("part", part).select("part", *columns).repartitionById(8, F.col("part").cast("int")).sortWithinPartitions("event_id").write.parquet(folder)
+    fields = [IndexField("event_id", 1, True), IndexField("user_id", 2, True), IndexField("value", 3), IndexField("ts", 4)]
+    return snapshot_table(spark, ResolvedSnapshot(data_files(spark, folder)), fields, f"{folder}-index")
+
+
+def zone_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of eight zones each predicate leaves, by bounds alone."""
+    table = _ranged(spark, sf_dir, "survivors", "event_id", "user_id", "value", "ts")
+    top = spark.read.parquet(_uri(sf_dir, "events")).agg(F.max("event_id").alias("m")).first()["m"]
+    cases = {"equal": [("event_id", "=", top)], "less": [("event_id", "<", top // 3)], "greater": [("event_id", ">", top // 2)], "between": [("event_id", ">=", top // 4), ("event_id", "<=", top // 2)], "never": [("event_id", "<", -1)], "in": [("event_id", "IN", [0, top])]}
+    types = table.types()
+    kept = [(name, len(table.survivors(python_predicates(filters, {n: i for n, (i, _) in types.items()}, dict(types.values()))))) for name, filters in cases.items()]
+    return spark.createDataFrame(kept, "name string, zones long")
+
+
+def null_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column without values in the zones of the lower half: none of them can hold a match, the rest is read."""
+    value = F.when(F.col("part") >= 4, F.abs("value") + 1).alias("value")
+    table = _ranged(spark, sf_dir, "nulls", "event_id", "user_id", value, "ts")
+    rows = table.scan([("value", ">", 0.0)], ["event_id", "value"])
+    zones = sum(bool(z) for z in table.last_scan.values())
+    return rows.agg(F.count("*").alias("n"), F.min("event_id").alias("first")).withColumn("zones", F.lit(zones).cast("long"))
+
+
+def front_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement whose surviving row groups are read one by one, as few of them survive."""
+    table = _ranged(spark, sf_dir, "exact", "event_id", "user_id", "value", "ts")
+    front = ZoneSession.from_snapshots(spark, FileListResolver({"e": table.uris}), FixedIndex(table.fields), table.folder, SessionConfig(exact_below=0.9, default_limit=1_000_000))
+    return front.run("SELECT event_id, user_id FROM e WHERE event_id >= 10 AND event_id < 300").df
+
+
+def rezoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events rewritten for the native reader (sorted, inline filters), and looked up there."""
+    folder = f"{_index_folder(spark)}/rezoned-{uuid.uuid4().hex}"
+    events = spark.read.parquet(_uri(sf_dir, "events"))
+    rezone(events, folder, ["event_id"], {"user_id": events.select("user_id").distinct().count()}, files=2)
+    return spark.read.parquet(folder).where("user_id = 7 OR event_id < 40").groupBy("user_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+def result_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column names and types of a statement that returns no row, its row count, and the tables it resolved."""
+    s = session(spark, sf_dir)
+    out = s.run("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey < 0")
+    rows = [(f"column {k}", c.name) for k, c in enumerate(out.columns)] + [("rows", str(out.row_count()))] + [("table", t) for t in s.table_names()]
+    return spark.createDataFrame(rows, "what string, name string")
+
+
+def user_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vectorised function of the caller's, registered and called in a statement over all events."""
+    register(spark, {"doubled": F.pandas_udf(lambda s: s * 2, "long")})
+    return session(spark, sf_dir).run("SELECT event_type, sum(doubled(user_id)) AS total FROM events GROUP BY event_type").df
+
+
+def synthetic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    """The made-up events table, written and read again."""
+    folder = f"{_index_folder(spark)}/synthetic-{uuid.uuid4().hex}"
+    uris = synthetic.write_files(spark, folder, 5_000, 2, 1_000)
+    return spark.read.parquet(*uris).select("id", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("micros"), "user_id", "event_id", F.col("amount").cast("string").alias("amount"))
+
+
 # -- functions -----------------------------------------------------------------------------------------
 
 
@@ -181,7 +250,7 @@ FRONT = {
     "zone_cte_whole": "WITH e AS (SELECT user_id, count(*) AS n, max(event_id) AS top FROM events GROUP BY user_id) SELECT count(*) AS users, max(n) AS most, max(top) AS top FROM e",
     "zone_cte": "WITH e AS (SELECT event_id, value FROM events WHERE event_id < 200) SELECT count(*) AS n, max(event_id) AS top FROM e WHERE event_id >= 150",
 }
-# name: SQL of both engines over plain views
+# name: SQL of both engines over plain views; windows without PARTITION BY are the feature, on small tables
 PLAIN = {
     "join_inner": "SELECT n.n_name, count(*) AS n FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name",
     "join_using": "SELECT count(*) AS n FROM (SELECT o_custkey AS k FROM orders) o JOIN (SELECT c_custkey AS k FROM customer) c USING (k)",
@@ -236,6 +305,8 @@ TWO = {
     "auto_limit": ("SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 100"),
     "auto_limit_whole": ("SELECT event_id FROM events ORDER BY event_id", "SELECT event_id FROM events ORDER BY event_id LIMIT 100"),
     "fqn_whole": ("SELECT count(*) AS n, count(DISTINCT events.user_id) AS users, max(e.event_id) AS top FROM main.default.events AS e JOIN a.b.events ON e.event_id = events.event_id", "SELECT count(*) AS n, count(DISTINCT user_id) AS users, max(event_id) AS top FROM events"),
+    "json_column_path": ("SELECT count(*) AS n, count(k) AS found, count(DISTINCT k) AS kinds, min(k) AS low, max(k) AS high FROM (SELECT get_json_object(props, concat('$[ \"', substring('kx', 1, 1), '\" ]')) AS k FROM main.default.events) t", "SELECT count(*) AS n, count(k) AS found, count(DISTINCT k) AS kinds, min(k) AS low, max(k) AS high FROM (SELECT json_extract_string(props, '$.k') AS k FROM events) t"),
+    "arrow_cast": ("SELECT count(*) AS n, sum(arrow_cast(user_id, 'Decimal128(20, 2)')) AS total, min(arrow_cast(event_id, 'Utf8')) AS least FROM events WHERE ts >= arrow_cast(1705276800000000, 'Timestamp(Microsecond, None)')", "SELECT count(*) AS n, sum(user_id::DECIMAL(20,2)) AS total, min(event_id::VARCHAR) AS least FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'"),
     "approx_front": ("SELECT event_type, count(DISTINCT user_id) AS users, abs(approx_distinct(user_id) - count(DISTINCT user_id)) <= 0.1 * count(DISTINCT user_id) AS close FROM cat.sch.events GROUP BY event_type", "SELECT event_type, count(DISTINCT user_id) AS users, true AS close FROM events GROUP BY event_type"),
     "fqn": ("SELECT e.event_id, events.user_id FROM main.default.events AS e JOIN a.b.events ON e.event_id = events.event_id WHERE e.event_id < 25", "SELECT event_id, user_id FROM events WHERE event_id < 25"),
 }
@@ -272,11 +343,31 @@ def union_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.frame().groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"))
 
 
+_SURVIVORS = """
+WITH b AS (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events),
+z AS (SELECT (event_id - lo) // ((hi - lo) // 8 + 1) AS k, min(event_id) AS a, max(event_id) AS b, max(hi) AS top FROM events, b GROUP BY 1)
+SELECT name, count(*) FILTER (WHERE kept) AS zones FROM (
+  SELECT 'equal' AS name, top BETWEEN a AND b AS kept FROM z UNION ALL SELECT 'less', a < top // 3 FROM z UNION ALL SELECT 'greater', b > top // 2 FROM z
+  UNION ALL SELECT 'between', b >= top // 4 AND a <= top // 2 FROM z UNION ALL SELECT 'never', a < -1 FROM z UNION ALL SELECT 'in', 0 BETWEEN a AND b OR top BETWEEN a AND b FROM z) GROUP BY name"""
+_SYNTHETIC = f"""
+WITH a AS (SELECT r, (r::UHUGEINT + {0x9E3779B97F4A7C15}::UHUGEINT) % {1 << 64}::UHUGEINT AS z FROM range(5000) t(r)),
+b AS (SELECT r, xor(z, z >> 30) * {0xBF58476D1CE4E5B9}::UHUGEINT % {1 << 64}::UHUGEINT AS z FROM a),
+c AS (SELECT r, xor(z, z >> 27) * {0x94D049BB133111EB}::UHUGEINT % {1 << 64}::UHUGEINT AS z FROM b),
+h AS (SELECT r, xor(z, z >> 31) AS h FROM c)
+SELECT r AS id, {synthetic.TS_BASE} + r * {synthetic.TS_STEP} AS micros, (h % {synthetic.USERS})::BIGINT AS user_id, 'evt-' || lpad(lower(printf('%x', h::UBIGINT)), 16, '0') AS event_id, ((h % {synthetic.AMOUNTS})::BIGINT // 100)::VARCHAR || '.' || lpad(((h % 100)::BIGINT)::VARCHAR, 2, '0') AS amount FROM h"""
+
 OWN: dict[str, tuple[Query, str]] = {
     "flagship": (flagship, "SELECT event_id, user_id, event_type FROM events WHERE event_id = 500"),
     "index_zones": (index_zones, "SELECT f::INT AS field_id, n::BIGINT AS row_count, (n - c)::BIGINT AS null_count, c::BIGINT AS value_count FROM (SELECT count(*) AS n, count(event_id) AS c1, count(ts) AS c2, count(user_id) AS c3, count(event_type) AS c4, count(value) AS c5 FROM events) t, LATERAL (VALUES (1, c1), (2, c2), (3, c3), (4, c4), (5, c5)) v(f, c)"),
     "exact_groups": (exact_groups, "SELECT event_id, user_id, value FROM events WHERE user_id = 7"),
     "memory_zones": (memory_zones, "SELECT event_id, user_id FROM events, (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events) b WHERE event_id >= lo + 3 * ((hi - lo) // 4 + 1)"),
+    "zone_survivors": (zone_survivors, _SURVIVORS),
+    "null_zones": (null_zones, "SELECT count(*) AS n, min(event_id) AS first, 4::BIGINT AS zones FROM events, (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events) b WHERE (event_id - lo) // ((hi - lo) // 8 + 1) >= 4 AND value IS NOT NULL"),
+    "front_exact": (front_exact, "SELECT event_id, user_id FROM events WHERE event_id >= 10 AND event_id < 300"),
+    "rezoned": (rezoned, "SELECT user_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE user_id = 7 OR event_id < 40 GROUP BY user_id"),
+    "result_columns": (result_columns, "SELECT 'column ' || (row_number() OVER () - 1) AS what, column_name AS name FROM (DESCRIBE SELECT o_orderkey, o_orderstatus FROM orders) UNION ALL SELECT 'rows', count(*)::VARCHAR FROM orders WHERE o_orderkey < 0 UNION ALL SELECT 'table', 'main.default.orders'"),
+    "user_function": (user_function, "SELECT event_type, CAST(sum(2 * user_id) AS BIGINT) AS total FROM events GROUP BY event_type"),
+    "synthetic_rows": (synthetic_rows, _SYNTHETIC),
     "contract_replay": (contract_replay, "SELECT event_id, value FROM events WHERE event_id BETWEEN 100 AND 140"),
     "contract_replay_whole": (contract_replay_whole, "SELECT event_type, count(*) AS n, max(event_id) AS top FROM events GROUP BY event_type"),
     "json_paths": (json_paths, "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k') AS quoted, CAST(NULL AS VARCHAR) AS missing FROM events"),
