@@ -330,6 +330,84 @@ def test_files_and_services():
     assert r.resolve("e") is None and r.resolve("other") is None
 
 
+def zigzag(n):
+    n, out = (n << 1) ^ (n >> 63), bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def avro(schema, records, encode, codec="null"):
+    """A container file of two blocks, by the format's letter."""
+    import zlib
+
+    text = lambda x: zigzag(len(x)) + x
+    sync = bytes(range(16))
+    out = b"Obj\1" + zigzag(2) + text(b"avro.schema") + text(json.dumps(schema).encode()) + text(b"avro.codec") + text(codec.encode()) + zigzag(0) + sync
+    for part in (records[:1], records[1:]):
+        body = b"".join(encode(r, text) for r in part)
+        if codec == "deflate":
+            packer = zlib.compressobj(wbits=-15)
+            body = packer.compress(body) + packer.flush()
+        out += zigzag(len(part)) + text(body) + sync
+    return out
+
+
+MANIFEST = {"type": "record", "name": "manifest_entry", "fields": [{"name": "status", "type": "int"}, {"name": "snapshot_id", "type": ["null", "long"]}, {"name": "data_file", "type": {"type": "record", "name": "r2", "fields": [{"name": "content", "type": "int"}, {"name": "file_path", "type": "string"}, {"name": "partition", "type": {"type": "record", "name": "r102", "fields": []}}, {"name": "sizes", "type": ["null", {"type": "array", "items": {"type": "record", "name": "k", "fields": [{"name": "key", "type": "int"}, {"name": "value", "type": "long"}]}}]}, {"name": "kept", "type": ["null", "k"]}]}}]}
+LIST = {"type": "record", "name": "manifest_file", "fields": [{"name": "manifest_path", "type": "string"}, {"name": "manifest_length", "type": "long"}, {"name": "ratio", "type": "double"}, {"name": "fresh", "type": "boolean"}, {"name": "tags", "type": {"type": "map", "values": "bytes"}}]}
+
+
+def entry(r, text):
+    status, content, path = r
+    return zigzag(status) + zigzag(1) + zigzag(-7) + zigzag(content) + text(path.encode()) + zigzag(1) + zigzag(-2) + zigzag(4) + zigzag(1) + zigzag(300) + zigzag(2) + zigzag(-5) + zigzag(0) + zigzag(0)
+
+
+def test_rest_catalog(spark, events, tmp_path):
+    """A table's metadata from a catalog, manifests in plain and deflated files, pruned queries over what is live."""
+    import struct
+
+    from zonelight.errors import BadContainer, Truncated, UnsupportedCodec
+    from zonelight.sources.avro import read_avro
+    from zonelight.sources.resolvers import RestCatalogResolver
+
+    paths = [u.removeprefix("file://") for u in events]
+    (tmp_path / "m1.avro").write_bytes(avro(MANIFEST, [(1, 0, paths[0]), (2, 0, "/gone.parquet"), (0, 0, paths[1])], entry, "deflate"))
+    (tmp_path / "m2.avro").write_bytes(avro(MANIFEST, [(1, 0, paths[2])], entry))
+    (tmp_path / "m3.avro").write_bytes(avro(MANIFEST, [(1, 1, "/deletes.parquet")], entry))
+    line = lambda r, text: text(r.encode()) + zigzag(99) + struct.pack("<d", 0.5) + b"\1" + zigzag(1) + text(b"k") + text(b"v") + zigzag(0)
+    for name, parts in (("good", "m1 m2"), ("bad", "m1 m3")):
+        (tmp_path / f"{name}.avro").write_bytes(avro(LIST, [str(tmp_path / f"{p}.avro") for p in parts.split()], line))
+    asked = []
+
+    def get(url, head):
+        asked.append((url, head))
+        if "/v1/config" in url:
+            return {"defaults": {"prefix": "wrong"}, "overrides": {"prefix": "lake"}}
+        name = url.rpartition("/")[2]
+        if name == "none":
+            return None
+        shot = {"snapshot-id": 5, "manifest-list": str(tmp_path / f"{name}.avro")}
+        return {"metadata": {"current-snapshot-id": -1 if name == "empty" else 5, "snapshots": [] if name == "empty" else [{"snapshot-id": 4, "manifest-list": "/nowhere"}, shot]}}
+
+    r = RestCatalogResolver(spark, "http://c/", "tok", "w h", skip=1, get=get)
+    assert r.resolve("cat.a.b.good").files == sorted(paths)
+    assert asked[0] == ("http://c/v1/config?warehouse=w%20h", {"Authorization": "Bearer tok"})
+    assert asked[1][0] == "http://c/v1/lake/namespaces/a%1Fb/tables/good"
+    assert r.resolve("cat.a.none") is None and r.resolve("cat.a.empty").files == [] and r.resolve("cat.a.bad").has_deletes
+    front = ZoneSession.from_snapshots(spark, r, FixedIndex(synthetic.INDEX), str(tmp_path / "index"))
+    out = front.run("SELECT count(*) AS n FROM main.a.good WHERE id < 100")
+    assert out.rows()[0]["n"] == 100 and sum(map(len, out.scans[0]["zones"].values())) == 1
+    with pytest.raises(TableNotFound):
+        front.run("SELECT * FROM main.a.none")
+    with pytest.raises(ConfigError):
+        front.run("SELECT * FROM main.a.bad")
+    raw = (tmp_path / "m2.avro").read_bytes()
+    for broken, error in ((b"x" + raw, BadContainer), (raw[:-1] + b"x", BadContainer), (raw[:-20], Truncated), (raw.replace(b"avro.codec\x08null", b"avro.codec\x08lzma"), UnsupportedCodec)):
+        with pytest.raises(error):
+            list(read_avro(broken))
+
+
 def test_deletes_are_refused(spark):
     class Deleted:
         def resolve(self, table):  # noqa: ARG002

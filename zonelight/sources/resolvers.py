@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import json
+import urllib.error
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 from ..errors import ConfigError
-from ..operators.build import IndexField
+from ..operators.build import IndexField, listed
 from ..operators.scan import ZoneTable
-from .files import S3Config, normal_uri
+from .avro import read_avro
+from .files import S3Config, normal_uri, opened
 
 
 @dataclass(frozen=True)
@@ -131,11 +135,83 @@ class HttpResolver:
 
 @dataclass
 class RestCatalogResolver:
-    """Tables of a REST catalog that the session has a Spark catalog for (its connector must be on the class path).
+    """Tables of an Iceberg REST catalog, by the names in it: the data files of a table's current snapshot.
 
-    The connector plans the files; where it is absent, use a file list.
+    The catalog gives a table's metadata; the manifest list is read here, the manifests by the executors.  A name has
+    as many parts as the catalog's namespaces need; ``skip`` leading parts (a catalog's own name, say) are left out.
+    A table that the catalog doesn't have is None; any other failure is raised.
     """
 
+    spark: SparkSession
+    base_url: str
+    token: str = ""
+    warehouse: str = ""
+    store: S3Config | None = None
+    skip: int = 0
+    timeout: float = 30.0
+    get: Callable[[str, dict], dict | None] | None = None
+    _prefix: str | None = None
+
+    def _get(self, path: str) -> dict | None:
+        url, head = f"{self.base_url.rstrip('/')}/v1/{path}", {"Authorization": f"Bearer {self.token}"} if self.token else {}
+        if self.get:
+            return self.get(url, head)
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, headers=head), timeout=self.timeout) as answer:  # noqa: S310
+                return json.load(answer)
+        except urllib.error.HTTPError as e:
+            if e.code == 404:
+                return None
+            raise
+
+    def resolve(self, table: str) -> ResolvedSnapshot | None:
+        if self._prefix is None:
+            found = self._get("config" + (f"?warehouse={quote(self.warehouse, safe='')}" if self.warehouse else "")) or {}
+            self._prefix = {**found.get("defaults", {}), **found.get("overrides", {})}.get("prefix", "")
+        *space, name = table.split(".")[self.skip :]
+        if not space:
+            raise ConfigError(f"{table} has no namespace")
+        lead = f"{self._prefix}/" if self._prefix else ""
+        loaded = self._get(f"{lead}namespaces/{quote(chr(0x1F).join(space), safe='')}/tables/{quote(name, safe='')}")
+        if loaded is None:
+            return None
+        meta = loaded["metadata"]
+        current = next((x for x in meta.get("snapshots", []) if x["snapshot-id"] == meta.get("current-snapshot-id")), None)
+        if current is None:
+            return ResolvedSnapshot([], self.store)
+        manifests = self._manifests(current)
+        rows = self._entries(manifests)
+        return ResolvedSnapshot([normal_uri(p) for p, content in rows if content == 0], self.store, any(content != 0 for _, content in rows))
+
+    def _manifests(self, snapshot: dict) -> list[str]:
+        if "manifest-list" not in snapshot:
+            return list(snapshot.get("manifests", []))
+        fs, path = opened(snapshot["manifest-list"], self.store)
+        with fs.open_input_file(path) as f:
+            return [m["manifest_path"] for m in read_avro(f.read())]
+
+    def _entries(self, manifests: list[str]) -> list[tuple[str, int]]:
+        """(path, content) of every live file: 0 for data, others for deletes."""
+        if not manifests:
+            return []
+        store = self.store
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for uri in batch.column("uri").to_pylist():
+                    fs, path = opened(uri, store)
+                    with fs.open_input_file(path) as f:
+                        live = [e["data_file"] for e in read_avro(f.read()) if e["status"] != 2]
+                    yield pa.record_batch([pa.array([d["file_path"] for d in live], pa.string()), pa.array([d.get("content") or 0 for d in live], pa.int32())], names=["path", "content"])
+
+        rows = listed(self.spark, manifests).mapInArrow(run, "path string, content int").collect()
+        return sorted((r["path"], r["content"]) for r in rows)
+
+
+@dataclass
+class CatalogResolver:
+    """Tables of a catalog that the session has a Spark catalog for (its connector must be on the class path)."""
+
     spark: SparkSession
     catalog: str
 
