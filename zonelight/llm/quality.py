@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import SPACE, Words, bounded, documents, row_slices, saved, string_buffers
+from ._text import SPACE, Words, bounded, documents, drop, row_slices, saved, string_buffers
 
 FIT_ROWS = 16_000
-#: Words of a toxic class: documents of the first half that must have them, and least log odds.
+#: Words of a toxic class: documents of the half that finds them that must have them, and least log odds.
 LEAST_DOCS, LEAST_ODDS = 4, 3.0
 MAX_WORDS = 20_000
 RIDGE = 1.0
@@ -109,42 +109,33 @@ class Logistic:
 
 
 class Judge:
-    """Classifiers of quality and toxicity, fitted on sampled rows of (shape, distinct words, quality, toxic)."""
+    """Classifiers of quality and toxicity, fitted on rows of shape, marks (features of ``marked``), quality and toxic.
 
-    def __init__(self, shape: np.ndarray, words: list[np.ndarray], quality: np.ndarray, toxic: np.ndarray) -> None:
+    marks and weight: hashes of words that mark toxic texts, ascending, and their log odds.  Rows with ``weighs`` had no
+    part in finding the words; on them the toxic classifier is fitted.
+    """
+
+    def __init__(self, shape: np.ndarray, marked_: np.ndarray, quality: np.ndarray, toxic: np.ndarray, weighs: np.ndarray, marks: np.ndarray, weight: np.ndarray) -> None:
         self.quality = Logistic(expanded(shape), quality) if len(set(quality.tolist())) == 2 else None
-        self.toxic, self.marks, self.weight = None, np.zeros(0, np.uint64), np.zeros(0)
-        if len(set(toxic.tolist())) == 2:
-            half = np.arange(len(toxic)) % 2 == 0  # one half finds the words, the other weighs them
-            bad = np.concatenate([np.zeros(0, np.uint64), *[w for w, t, a in zip(words, toxic, half, strict=True) if a and t]])
-            good = np.concatenate([np.zeros(0, np.uint64), *[w for w, t, a in zip(words, toxic, half, strict=True) if a and not t]])
-            uniq, n_bad = np.unique(bad, return_counts=True)
-            all_good, n_good = np.unique(good, return_counts=True)
-            at = np.minimum(np.searchsorted(all_good, uniq), max(0, len(all_good) - 1))
-            seen = np.where(all_good[at] == uniq, n_good[at], 0) if len(all_good) else np.zeros(len(uniq))
-            n1, n0 = int((toxic[half] == 1).sum()), int((toxic[half] == 0).sum())
-            odds = np.log((n_bad + 0.5) / (n1 + 1)) - np.log((seen + 0.5) / (n0 + 1))
-            keep = np.flatnonzero((n_bad >= LEAST_DOCS) & (odds >= LEAST_ODDS))
-            keep = np.sort(keep[np.argsort(-odds[keep], kind="stable")[:MAX_WORDS]])
-            self.marks, self.weight = uniq[keep], odds[keep]
-            x = np.stack([self._marked(w) for w, a in zip(words, half, strict=True) if not a])
-            self.toxic = Logistic(x, toxic[~half])
-
-    def _marked(self, words: np.ndarray) -> np.ndarray:
-        """Greatest and summed log odds of a text's distinct words."""
-        if not len(self.marks) or not len(words):
-            return np.zeros(3)
-        at = np.minimum(np.searchsorted(self.marks, words), len(self.marks) - 1)
-        w = self.weight[at[self.marks[at] == words]]
-        return np.array([w.max(), min(w.sum(), 30.0), len(w) / len(words)]) if len(w) else np.zeros(3)
+        self.marks, self.weight = marks, weight
+        self.toxic = Logistic(marked_[weighs], toxic[weighs]) if len(set(toxic.tolist())) == 2 and weighs.any() else None
 
     def judge(self, shape: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Log odds of quality and of toxicity."""
         q = self.quality.odds(expanded(shape)) if self.quality else np.full(len(shape), 20.0)
-        t = self.toxic.odds(np.stack([self._marked(w) for w in words])) if self.toxic and len(words) else np.full(len(shape), -20.0)
+        t = self.toxic.odds(np.stack([marked(w, self.marks, self.weight) for w in words])) if self.toxic and len(words) else np.full(len(shape), -20.0)
         return q, t
 
 
+def marked(words: np.ndarray, marks: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Greatest and summed log odds of a text's distinct words, and the share of them that are marks."""
+    if not len(marks) or not len(words):
+        return np.zeros(3)
+    at = np.minimum(np.searchsorted(marks, words), len(marks) - 1)
+    w = weight[at[marks[at] == words]]
+    return np.array([w.max(), min(w.sum(), 30.0), len(w) / len(words)]) if len(w) else np.zeros(3)
+
+
 def _described(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, list[np.ndarray]]]:
     flat, offsets = string_buffers(text)
     for lo, hi in row_slices(offsets):
@@ -154,20 +145,57 @@ def _described(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, list[np.n
         yield lo, hi, shapes(f, o, Words(f, o)), [np.unique(bare.hashes[a:b]) for a, b in zip(bare.bounds[:-1].tolist(), bare.bounds[1:].tolist(), strict=True)]
 
 
-def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, bad, good): how many toxic and other texts of a batch hold each word."""
     for batch in batches:
-        for lo, hi, shape, words in _described(batch.column("text")):
-            yield pa.record_batch([pa.array([x.tobytes() for x in shape], pa.binary()), pa.array([w.tobytes() for w in words], pa.binary()), batch.column("quality").slice(lo, hi - lo), batch.column("toxic").slice(lo, hi - lo)], names=["shape", "words", "quality", "toxic"])
+        toxic = batch.column("toxic").to_numpy() > 0
+        for lo, hi, _, words in _described(batch.column("text")):
+            flat = np.concatenate(words)
+            bad = np.repeat(toxic[lo:hi], [len(w) for w in words])
+            uniq, at = np.unique(flat, return_inverse=True)
+            n_bad = np.bincount(at, bad, len(uniq)).astype(np.int64)
+            yield pa.record_batch([pa.array(uniq.view(np.int64), pa.int64()), pa.array(n_bad), pa.array(np.bincount(at, minlength=len(uniq)) - n_bad)], names=["word", "bad", "good"])
+
+
+def _toxic_marks(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Words that at least LEAST_DOCS toxic texts hold, at log odds of LEAST_ODDS or more; at most MAX_WORDS reach the driver."""
+    n = sample.agg(F.sum((F.col("toxic") > 0).cast("long")).alias("bad"), F.count("*").alias("all")).first()
+    bad, good = n["bad"] or 0, (n["all"] or 0) - (n["bad"] or 0)
+    if not bad or not good:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    words = sample.mapInArrow(_word_counts, "word long, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    odds = F.ln((F.col("bad") + 0.5) / F.lit(bad + 1.0)) - F.ln((F.col("good") + 0.5) / F.lit(good + 1.0))
+    rows = words.withColumn("odds", odds).where((F.col("bad") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("odds"), "word").limit(MAX_WORDS).select("word", "odds").collect()
+    marks = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(marks)
+    return marks[order], np.array([r["odds"] for r in rows], float)[order]
+
+
+def _evidence(marks: np.ndarray, weight: np.ndarray):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, shape, words in _described(batch.column("text")):
+                both = [np.concatenate([x, marked(w, marks, weight)]).tobytes() for x, w in zip(shape, words, strict=True)]
+                yield pa.record_batch([pa.array(both, pa.binary()), *(batch.column(c).slice(lo, hi - lo) for c in ("quality", "toxic", "weighs"))], names=["evidence", "quality", "toxic", "weighs"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Judge:
-    """Fit on at most ``rows`` labelled documents; only their features reach the driver."""
+    """Fit on at most ``rows`` labelled documents; what reaches the driver is their features and at most MAX_WORDS words.
+
+    Half of the documents, by hash of the id, finds the words of toxic texts and the other half weighs them.
+    """
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.coalesce(F.min("toxic"), F.lit(0)).cast("int").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumn("weighs", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 1)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    got = text.join(F.broadcast(sample), "doc_id").mapInArrow(_evidence, "shape binary, words binary, quality int, toxic int").orderBy(F.xxhash64("shape", "words")).limit(rows).collect()
-    shape = np.array([np.frombuffer(r["shape"], float) for r in got]).reshape(len(got), len(FEATURES))
-    return Judge(shape, [np.frombuffer(r["words"], np.uint64) for r in got], np.array([r["quality"] for r in got], float), np.array([r["toxic"] for r in got], float))
+    sample = saved(text.join(F.broadcast(chosen), "doc_id").drop("doc_id"), "labelled")
+    marks, weight = _toxic_marks(sample.where("NOT weighs"))
+    got = sample.mapInArrow(_evidence(marks, weight), "evidence binary, quality int, toxic int, weighs boolean").orderBy(F.xxhash64("evidence"), "evidence").limit(rows).collect()
+    drop(sample)
+    both = np.array([np.frombuffer(r["evidence"], float) for r in got]).reshape(len(got), len(FEATURES) + 3)
+    column = lambda c: np.array([r[c] for r in got], float)
+    return Judge(both[:, : len(FEATURES)], both[:, len(FEATURES) :], column("quality"), column("toxic"), column("weighs") > 0, marks, weight)
 
 
 def _judged(model: Judge):  # noqa: ANN202
