@@ -7,7 +7,7 @@ costs MU / (c(h) + MU) and leads to the root, whose arcs are the words.  A text
 traversal that carries the state and adds up log10 probabilities, its end included.
 
 The model is as large as the corpus, so nobody holds it whole.  Documents are dealt into chunks of
-bounded size by hash.  Each chunk sends its distinct n-grams, with its training counts, to fragments of
+bounded size by hash of the row and its place, so that repeated rows spread.  Each chunk sends its distinct n-grams, with its training counts, to fragments of
 the n-gram hash space; a fragment adds up the counts and answers every chunk with the totals of what it
 sent; with the answers each chunk builds the part of the automaton that its own texts can reach.  A hot
 n-gram costs a fragment one entry for each chunk.
@@ -206,12 +206,18 @@ _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 _KINDS = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
 
+def _dealt(rows: DataFrame, chunks: int) -> DataFrame:
+    """rows with the chunk of each; a row's place in its file keeps repeated rows from meeting in one chunk."""
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(4096))
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", place), F.lit(chunks)).cast("int"))
+
+
 def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", mu: float = MU) -> DataFrame:
     """Scores of all rows under a model of those for which ``train`` holds (null: it doesn't)."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     chars = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     chunks = max(partitions(df), -(-chars // CHUNK_CHARS))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    dealt = _dealt(rows, chunks)
     asked = dealt.groupBy("chunk").applyInArrow(_asked(chunks), "frag int, chunk int, keys binary, counts binary")
     answers = asked.groupBy("frag").applyInArrow(_answered, "chunk int, frag int, n long, totals binary, types long, tokens long")
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored(mu), SCHEMA)
