@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import drop, saved
+from ._text import drop, lean, saved
 
 #: Links that a task unites at once (16 bytes each).
 BLOCK_LINKS = 1_000_000
@@ -62,7 +62,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     node's neighbours.  Self links keep an id alone.  Null ends are ignored.
     """
     whole = links.where("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    ids = saved(whole.mapInArrow(_united, "u long, v long").distinct(), "edges")
+    ids = saved(whole.mapInArrow(lean(_united), "u long, v long").distinct(), "edges")
     edges = saved(ids.where("u != v"), "edges")
     while not _are_stars(edges):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

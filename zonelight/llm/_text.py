@@ -8,10 +8,13 @@ white space or at the end of a text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -238,8 +241,52 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch: whole texts by the thousand are some megabytes in the JVM and in a worker.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have texts sent to workers in small batches, unless the session asks for another size than Spark's own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not all systems have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """An Arrow function that gives freed memory back to the system when it ends, as workers wait for their next task."""
+
+    def over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    def over_group(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            _release()
+
+    def over_groups(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            _release()
+
+    if inspect.isgeneratorfunction(run):
+        return over_batches
+    return over_group if len(inspect.signature(run).parameters) == 1 else over_groups
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Write to a Parquet table in the shared folder and read it back: a cut in the lineage that outlives executors."""
+    small_batches(df.sparkSession)
     path = shared_dir(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -285,6 +332,7 @@ def bounded(table: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import WordCache, Words, documents, ragged_take, row_slices, string_buffers
+from ._text import WordCache, Words, documents, lean, ragged_take, row_slices, small_batches, string_buffers
 
 VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 1_000_000
@@ -245,6 +245,7 @@ def encoder(path: str) -> RankBPE:
 def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, digests: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded text of each row; with ``digests``, SHA-256 of both instead."""
     path = vocabulary or vocabulary_path()
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
@@ -269,7 +270,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "ids", "decoded"]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else SCHEMA
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._ranges import range_bounds, range_of
-from ._text import Words, documents, mix64, partitions, row_slices, shingle_sets, string_buffers
+from ._text import Words, documents, lean, mix64, partitions, row_slices, shingle_sets, string_buffers
 
 BINS, BITS, SHINGLE = 256, 8, 5
 FULL = np.uint64(2**64 - 1)
@@ -101,7 +101,7 @@ def fingerprint_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 prints = fingerprints_of(part.column("text").fill_null("").to_pylist())
                 yield pa.record_batch([part.column("doc_id"), pa.array([p.tobytes() for p in prints], pa.binary())], names=["doc_id", "fingerprint"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint binary")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, fingerprint binary")
 
 
 def with_next(df: DataFrame, n: int) -> DataFrame:
@@ -170,7 +170,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return with_next(docs, partitions(docs)).mapInArrow(_compared, SCHEMA)
+    return with_next(docs, partitions(docs)).mapInArrow(lean(_compared), SCHEMA)
 
 
 QUERIES = {"op10_fingerprints": op10_fingerprints}

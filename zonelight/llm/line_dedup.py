@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import connected_components
-from ._text import bounded, documents, drop, mix64, partitions, saved
+from ._text import bounded, documents, drop, lean, mix64, partitions, saved
 
 GRAM, ROWS, BANDS = 5, 7, 34
 #: Likeness from which lines link, in parts.
@@ -340,7 +340,7 @@ def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Saved links (a, b) of the members (group, chunk, bucket, id, comp, prio, ask) of each group and chunk."""
     key = ["group", "chunk"]
     lines = members.select(*key, "id").distinct().join(texts.select("id", "line"), "id").select(*key, "id", "line").toDF("g", "c", "id", "line")
-    found = members.groupBy(*key).cogroup(lines.groupBy("g", "c")).applyInArrow(_group_links, "a long, b long")
+    found = members.groupBy(*key).cogroup(lines.groupBy("g", "c")).applyInArrow(lean(_group_links), "a long, b long")
     return saved(found.distinct(), "links")
 
 
@@ -348,9 +348,9 @@ def line_components(df: DataFrame, group_chars: int = GROUP_CHARS, group_lines:
     """(id, comp) of the classes of equal lines that link with another class.  df: (doc_id, text), text not null."""
     chars = df.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     fragments = max(partitions(df), -(-chars // 200 * BANDS // FRAGMENT))
-    rows = df.mapInArrow(_band_rows(fragments), "frag int, buckets binary, ids binary").groupBy("frag").applyInArrow(_shared_buckets, "bucket long, first long, short long")
+    rows = df.mapInArrow(lean(_band_rows(fragments)), "frag int, buckets binary, ids binary").groupBy("frag").applyInArrow(lean(_shared_buckets), "bucket long, first long, short long")
     shared = saved(rows.distinct(), "bands")
-    lines = df.mapInArrow(_line_texts, "id long, line string").withColumn("short", F.shiftrightunsigned("id", 24))
+    lines = df.mapInArrow(lean(_line_texts), "id long, line string").withColumn("short", F.shiftrightunsigned("id", 24))
     texts = saved(lines.join(bounded(shared.select("short").distinct()), "short", "left_semi").dropDuplicates(["id"]).withColumn("chars", F.length("line")), "lines")
 
     # buckets of the whole ids, and how each is dealt: groups take about group_chars characters, large buckets are cut
@@ -399,7 +399,7 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, tkey, removed): the numbers of the lines that go, for each document that loses some; tkey is xxhash64 of the text."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     comps = line_components(docs)
-    seen = saved(docs.mapInArrow(_occurrences, "doc_id long, tkey long, line_no int, line_id long"), "occurrences")
+    seen = saved(docs.mapInArrow(lean(_occurrences), "doc_id long, tkey long, line_no int, line_id long"), "occurrences")
     # a row for each distinct line, then for each component, before anything meets its occurrences again
     at = F.struct("doc_id", "tkey", "line_no")
     lines = seen.groupBy("line_id").agg(F.min(at).alias("lo"), F.count("*").alias("n"))

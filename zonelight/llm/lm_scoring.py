@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import Words, documents, mix64, ngram_hashes, partitions, string_buffers
+from ._text import Words, documents, lean, mix64, ngram_hashes, partitions, string_buffers
 
 MU = 50.0
 CHUNK_CHARS = 16_000_000
@@ -218,9 +218,9 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     chars = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     chunks = max(partitions(df), -(-chars // CHUNK_CHARS))
     dealt = _dealt(rows, chunks)
-    asked = dealt.groupBy("chunk").applyInArrow(_asked(chunks), "frag int, chunk int, keys binary, counts binary")
-    answers = asked.groupBy("frag").applyInArrow(_answered, "chunk int, frag int, n long, totals binary, types long, tokens long")
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored(mu), SCHEMA)
+    asked = dealt.groupBy("chunk").applyInArrow(lean(_asked(chunks)), "frag int, chunk int, keys binary, counts binary")
+    answers = asked.groupBy("frag").applyInArrow(lean(_answered), "chunk int, frag int, n long, totals binary, types long, tokens long")
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean(_scored(mu)), SCHEMA)
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

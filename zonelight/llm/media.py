@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import documents, saved
+from ._text import documents, lean, saved
 
 PAD = 64
 RATE = 16_000
@@ -192,12 +192,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and the media column of each row's bytes."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_encode, MEDIA_SCHEMA)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_encode), MEDIA_SCHEMA)
 
 
 def audio_features(media: DataFrame) -> DataFrame:
     """Digests of the stored bytes, log-mel tensors and time spans of each media file."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, FEATURE_SCHEMA)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lean(_features), FEATURE_SCHEMA)
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import resolve
-from ._text import Words, bounded, documents, drop, partitions, row_slices, saved, shingle_sets, string_buffers
+from ._text import Words, bounded, documents, drop, lean, partitions, row_slices, saved, shingle_sets, string_buffers
 
 SHINGLE, NUM, DEN = 5, 80, 100
 FRAGMENT = 1_500_000
@@ -230,7 +230,7 @@ def overlap_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     return out
 
 
-def _overlaps(key: tuple, segs: pa.Table, pairs: pa.Table) -> pa.Table:  # noqa: ARG001
+def _overlaps(segs: pa.Table, pairs: pa.Table) -> pa.Table:
     """Partial overlaps of a block's pairs in one fragment."""
     a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
     ids = segs.column("id").to_numpy()
@@ -249,9 +249,9 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     blocks = max(1, -(-pairs.count() // PAIRS_A_BLOCK), partitions(pairs) // PARTS)
     dealt = pairs.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(blocks)).cast("int"))
     need = dealt.select(F.col("a").alias("id"), "block").union(dealt.select(F.col("b").alias("id"), "block")).distinct()
-    segs = need.join(sets.select("id", "shingles"), "id").mapInArrow(_segments, "part int, block int, id long, seg binary")
+    segs = need.join(sets.select("id", "shingles"), "id").mapInArrow(lean(_segments), "part int, block int, id long, seg binary")
     spread = dealt.select("a", "b", "block", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    partial = segs.groupBy("part", "block").cogroup(spread.groupBy("part", "block")).applyInArrow(_overlaps, "a long, b long, part_overlap long")
+    partial = segs.groupBy("part", "block").cogroup(spread.groupBy("part", "block")).applyInArrow(lean(_overlaps), "a long, b long, part_overlap long")
     total = partial.groupBy("a", "b").agg(F.sum("part_overlap").alias("both"))
     size = sets.select("id", "size")
     total = total.join(size.toDF("a", "sa"), "a").join(size.toDF("b", "sb"), "b")
@@ -281,19 +281,19 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = rows.join(bounded(copies.select("doc_id")), "doc_id", "left_anti")
 
     # 2. shared shingles by fragment, answered to each slice of documents in one row
-    frags = texts.mapInArrow(_text_fragments(fragments), _FRAGMENT_SCHEMA)
-    counted = frags.groupBy("frag", _salt("frag")).applyInArrow(_counted, _ANSWER_SCHEMA)
-    sizes = saved(counted.groupBy("slice").applyInArrow(_totals, "doc_id long, size long, shared long"), "sizes")
+    frags = texts.mapInArrow(lean(_text_fragments(fragments)), _FRAGMENT_SCHEMA)
+    counted = frags.groupBy("frag", _salt("frag")).applyInArrow(lean(_counted), _ANSWER_SCHEMA)
+    sizes = saved(counted.groupBy("slice").applyInArrow(lean(_totals), "doc_id long, size long, shared long"), "sizes")
     left = saved(sizes.where((F.col("shared") * DEN >= NUM * F.col("size")) & (F.col("size") > 0)).select("doc_id"), "left")
 
     # 3. equal sets, document frequencies, prefixes and buckets
-    sets = saved(texts.join(bounded(left), "doc_id", "left_semi").mapInArrow(_packed, "id long, size long, digest binary, shingles binary"), "sets")
+    sets = saved(texts.join(bounded(left), "doc_id", "left_semi").mapInArrow(lean(_packed), "id long, size long, digest binary, shingles binary"), "sets")
     heads = sets.groupBy("digest").agg(F.min("id").alias("head"))
     same = saved(sets.select("id", "digest").join(heads, "digest").where("id != head").select("id", "head"), "same")
     sole = sets.join(same.select("id"), "id", "left_anti")
     fewer = max(1, -(-(sole.agg(F.sum("size").alias("n")).first()["n"] or 0) // FRAGMENT))
-    lists = sole.select("id", "shingles").mapInArrow(_set_fragments(fewer), _FRAGMENT_SCHEMA).groupBy("frag", _salt("frag")).applyInArrow(_answered, _ANSWER_SCHEMA)
-    posts = saved(lists.groupBy("slice").applyInArrow(_prefixes, "shingle long, freq long, id long, size long, rest long, prio double"), "posts")
+    lists = sole.select("id", "shingles").mapInArrow(lean(_set_fragments(fewer)), _FRAGMENT_SCHEMA).groupBy("frag", _salt("frag")).applyInArrow(lean(_answered), _ANSWER_SCHEMA)
+    posts = saved(lists.groupBy("slice").applyInArrow(lean(_prefixes), "shingle long, freq long, id long, size long, rest long, prio double"), "posts")
     # of equal posting lists the first shingle stays: hashes order as unsigned numbers
     signed = posts.groupBy("shingle").agg(F.min("freq").alias("freq"), F.min(F.col("shingle").bitwiseXOR(F.lit(-(1 << 63)))).alias("order"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s1"), F.expr("bit_xor(xxhash64(id, 7))").alias("s2"))
     chosen = signed.where("n > 1").groupBy("n", "s1", "s2").agg(F.min(F.struct("freq", "order", "shingle")).alias("first")).select("first.shingle")
@@ -312,7 +312,7 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _nameless(given: DataFrame) -> DataFrame:
-    nameless = given.where("doc_id IS NULL").mapInArrow(_packed, "id long, size long, digest binary, shingles binary")
+    nameless = given.where("doc_id IS NULL").mapInArrow(lean(_packed), "id long, size long, digest binary, shingles binary")
     return nameless.select("id", "size", F.lit(None).cast("long"))
 
 

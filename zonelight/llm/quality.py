@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import SPACE, Words, bounded, documents, drop, row_slices, saved, string_buffers
+from ._text import SPACE, Words, bounded, documents, drop, lean, row_slices, saved, string_buffers
 
 FIT_ROWS = 16_000
 #: Words of a toxic class: documents of the half that finds them that must have them, and least log odds.
@@ -163,7 +163,7 @@ def _toxic_marks(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     bad, good = n["bad"] or 0, (n["all"] or 0) - (n["bad"] or 0)
     if not bad or not good:
         return np.zeros(0, np.uint64), np.zeros(0)
-    words = sample.mapInArrow(_word_counts, "word long, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    words = sample.mapInArrow(lean(_word_counts), "word long, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.ln((F.col("bad") + 0.5) / F.lit(bad + 1.0)) - F.ln((F.col("good") + 0.5) / F.lit(good + 1.0))
     rows = words.withColumn("odds", odds).where((F.col("bad") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("odds"), "word").limit(MAX_WORDS).select("word", "odds").collect()
     marks = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Judge:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sample = saved(text.join(F.broadcast(chosen), "doc_id").drop("doc_id"), "labelled")
     marks, weight = _toxic_marks(sample.where("NOT weighs"))
-    got = sample.mapInArrow(_evidence(marks, weight), "evidence binary, quality int, toxic int, weighs boolean").orderBy(F.xxhash64("evidence"), "evidence").limit(rows).collect()
+    got = sample.mapInArrow(lean(_evidence(marks, weight)), "evidence binary, quality int, toxic int, weighs boolean").orderBy(F.xxhash64("evidence"), "evidence").limit(rows).collect()
     drop(sample)
     both = np.array([np.frombuffer(r["evidence"], float) for r in got]).reshape(len(got), len(FEATURES) + 3)
     column = lambda c: np.array([r[c] for r in got], float)
@@ -256,7 +256,7 @@ def classify(df: DataFrame, labels: DataFrame, host_col: str = "source", path_co
     host, path = site(F.col(url_col).cast("string")) if url_col else (F.col(host_col).cast("string"), F.col(path_col).cast("string"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tkey"), host.alias("host"), path.alias("path"), text.alias("text"))
-    scores = saved(rows.mapInArrow(_judged(model), "doc_id long, tkey long, host string, path string, p_doc double, p_toxic double"), "scores")
+    scores = saved(rows.mapInArrow(lean(_judged(model)), "doc_id long, tkey long, host string, path string, p_doc double, p_toxic double"), "scores")
     return posteriors(scores).withColumn("keep", (F.col("posterior") >= least) & (F.col("p_toxic") < toxic))
 
 

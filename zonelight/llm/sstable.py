@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._ranges import range_bounds, range_of
-from ._text import WordCache, Words, documents, partitions, row_slices, shared_dir, string_buffers
+from ._text import WordCache, Words, documents, lean, partitions, row_slices, shared_dir, string_buffers
 from .bpe import vocabulary_path
 
 MAGIC = b"SSTIDS01"
@@ -263,7 +263,7 @@ def write_shards(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
             yield finish()
 
     dealt = rows.withColumn("shard", range_of("doc_id", bounds)).repartitionById(n, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "text")
-    found = {r["shard"]: r.asDict() for r in dealt.mapInArrow(run, META_SCHEMA).collect()}
+    found = {r["shard"]: r.asDict() for r in dealt.mapInArrow(lean(run), META_SCHEMA).collect()}
     return [found[k] for k in sorted(found)]
 
 
@@ -300,7 +300,7 @@ def _scan(spark: SparkSession, folder: str, shards: list[dict], digest: bool) ->
         return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "start", "n_tokens", last.split()[0]])
 
     files = spark.createDataFrame(listed, "path string, first long")
-    return files.repartition(max(1, len(listed))).mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
+    return files.repartition(max(1, len(listed))).mapInArrow(lean(run), f"doc_id long, start long, n_tokens long, {last}")
 
 
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
