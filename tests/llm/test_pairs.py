@@ -351,3 +351,18 @@ def test_answers_to_slices_give_counts_and_frequencies():
             prefix = order[: n - -(-80 * n // 100) + 1] if n else []
             want = [(f, h - (h >> 63 << 64), n - 1 - k) for k, (f, h) in enumerate(prefix) if f > 1]
             assert got.get(i, []) == want, i
+
+
+def test_ngram_join_equals_its_sql(spark, tmp_path):
+    """All pairs on a second engine, over texts with copies, near copies and blanks."""
+    import duckdb
+
+    from .helpers import make_texts
+
+    rows = [(3 * i - 7, t) for i, t in enumerate(make_texts(seed=9, n=80))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(c.sql(ngram_join.ORACLE_SQL["op3_ngram_jaccard_join"]).fetchall())
+    assert sorted(map(tuple, ngram_join.op3_ngram_jaccard_join(spark, str(tmp_path)).collect())) == want
+    assert sum(a != b for a, _, b in want) > 5

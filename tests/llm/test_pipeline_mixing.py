@@ -12,7 +12,7 @@ import pytest
 import corpus_pipeline
 from zonelight.llm import bpe, line_dedup, mixing, ngram_join, oracle_sql, queries
 
-from .helpers import SCHEMA, words_of
+from .helpers import SCHEMA, shingles_of, words_of
 
 
 def hot_table(spark, tmp_path, n=600):
@@ -138,3 +138,106 @@ def test_pipeline_keeps_one_of_each_copy(spark, tmp_path):
     got = Counter(x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert set(range(30)) <= set(got) and not any(100 <= i < 200 for i in got)
     assert bpe.VOCABULARY and SCHEMA
+
+
+def plain_lines(rows):
+    """What line dedup leaves of (doc_id, text): all pairs of lines compared, the least occurrence of each component kept."""
+    where = {}
+    for d, t in rows:
+        for k, line in enumerate(t.split("\n")):
+            if norm := line_dedup.normal(line.encode()).decode():
+                where.setdefault(norm, []).append((d, line_dedup.line_id(t.encode()), k))
+    lines, parent = sorted(where), {}
+
+    def top(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    grams = {x: line_dedup.grams(x) for x in lines}
+    for k, a in enumerate(lines):
+        for b in lines[k + 1 :]:
+            both = len(grams[a] & grams[b])
+            if 5 * both >= 4 * (len(grams[a]) + len(grams[b]) - both):
+                parent[top(b)] = top(a)
+    groups = {}
+    for x in lines:
+        groups.setdefault(top(x), []).extend(where[x])
+    gone = {o for g in groups.values() for o in g if o != min(g)}
+    out = []
+    for d, t in rows:
+        key = line_dedup.line_id(t.encode())
+        left = [x for k, x in enumerate(t.split("\n")) if (d, key, k) not in gone]
+        if any(x.strip() for x in left) or not any(x.strip() for x in t.split("\n")):
+            out.append((d, "\n".join(left)))
+    return out
+
+
+def plain_near(rows):
+    """One document of each group of near copies: all pairs of shingle sets compared."""
+    sets, parent = {d: shingles_of(t) for d, t in rows}, {d: d for d, _ in rows}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in parent:
+        for b in parent:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 80 * len(sets[a] | sets[b]) and top(a) != top(b):
+                low, high = sorted((top(a), top(b)))
+                parent[high] = low
+    return [(d, t) for d, t in rows if top(d) == d]
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Every stage on what its predecessor kept: the classifier's verdicts, all pairs of lines and of documents, the
+    mixture's SQL on a second engine, the tokenizers library."""
+    from tokenizers import Tokenizer
+
+    from zonelight.llm import quality
+
+    r = random.Random(41)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7))) for _ in range(500)]
+    line = lambda: " ".join(r.choice(vocab) for _ in range(r.randint(12, 20)))
+    common = line()
+    docs, labels = [], []
+    for i in range(90):
+        text = [line() for _ in range(r.randint(1, 4))]
+        if i % 9 == 0:
+            text.insert(0, common if i % 2 else common + "x")
+        bad = i % 6 == 5
+        docs.append((i, "\n".join(x.upper() + " !!! $$$" for x in text) if bad else "\n".join(text), "hot" if i % 3 else f"s{i % 2}"))
+        labels.append((i, 0 if bad else 1, 0))
+    for i in range(10):  # near copies on one line, so that no line is alike but the documents are
+        w = docs[6 * i + 1][1].replace("\n", " ").split(" ")
+        w[len(w) // 2] = "other"
+        docs.append((200 + i, " ".join(w), "hot"))
+        labels.append((200 + i, 1, 0))
+    docs += [(300, docs[1][1], "hot"), (301, docs[2][1].upper(), "s1")]
+    rows = [(i, t, "en", s, len(t)) for i, t, s in docs]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    source = {i: s for i, _, s in docs}
+
+    whole = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    judged = quality.classify(whole, spark.read.parquet(str(tmp_path / "labels.parquet"))).collect()
+    keep = {x["doc_id"] for x in judged if x["posterior"] >= 0.5 and x["p_toxic"] < 0.5}
+    assert {i for i, q, _ in labels if q} <= keep | {301} and len(keep) < len(docs)
+    left = plain_near(plain_lines([(i, t) for i, t, _ in docs if i in keep]))
+
+    (tmp_path / "mixed").mkdir()
+    spark.createDataFrame([(i, t, "en", source[i], len(t)) for i, t in left], schema).write.parquet(str(tmp_path / "mixed" / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/mixed/documents.parquet/*.parquet'")
+    times = Counter(x for (x,) in c.sql(f"SELECT doc_id FROM ({oracle_sql()['op6_mixing']})").fetchall())
+    library, text = Tokenizer.from_file(bpe.vocabulary_path()), dict(left)
+    want = Counter()
+    for i, n in times.items():
+        ids = library.encode(text[i], add_special_tokens=False).ids
+        want[i, len(ids), library.decode(ids, skip_special_tokens=False)] += n
+    got = Counter((x["doc_id"], x["n_tokens"], x["decoded"]) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want
+    assert len(left) < len(keep)

@@ -119,6 +119,20 @@ def test_model_is_a_distribution_and_beats_its_base(spark):
     assert first[10_000]["n_tokens"] == 1 and first[10_011]["n_known"] == 1
 
 
+def test_repeated_rows_are_dealt_to_all_chunks(spark, tmp_path, monkeypatch):
+    """Two rows hold most of a table: the largest chunk has little more than its share, and scores don't change."""
+    rows = [(1, "a b a c")] * 3000 + [(None, None)] * 2000 + [(k, f"a {k} b") for k in range(2, 200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    frame = spark.read.parquet(str(tmp_path / "t"))
+    scores = lambda: sorted((x["doc_id"] or 0, x["n_tokens"], round(x["score"], 6)) for x in lm_scoring.score(frame, F.lit(True)).collect())
+    whole = scores()
+    monkeypatch.setattr(lm_scoring, "CHUNK_CHARS", 1500)
+    assert scores() == whole
+    dealt = lm_scoring._dealt(frame.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 16)
+    counts = [x["count"] for x in dealt.groupBy("chunk").count().collect()]
+    assert len(counts) == 16 and max(counts) < 2 * len(rows) / 16
+
+
 def test_no_training_and_no_rows(docs, empty, rows):
     got = lm_scoring.score(docs, F.lit(False)).collect()
     assert len(got) == len(rows) and all(g["score"] == g["base_score"] == 0 and g["train_tokens"] == 0 for g in got)
