@@ -49,6 +49,8 @@ PASS_CHARS, PASS_LINES = 250_000, 2000
 FEW = 64
 #: Characters and members of a group of buckets.
 GROUP_CHARS, GROUP_LINES = 2_000_000, 4096
+#: (bucket, line) entries that a task gathers before it deals them out.
+HELD = 1_000_000
 #: Lines that a task remembers so as not to hash them again; beyond it starts anew.
 SEEN = 200_000
 SEED = 42  # of Spark's xxhash64
@@ -211,21 +213,35 @@ def _new_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, str]]:
             yield new
 
 
+def _dealt(buckets: np.ndarray, owners: np.ndarray, fragments: int) -> pa.RecordBatch:
+    """A row for each fragment: the low 32 bits of its buckets and the upper 40 bits of their lines' ids."""
+    frag = (buckets >> np.uint64(32)).astype(np.int64) * fragments >> 32
+    order = np.argsort(frag, kind="stable")
+    cuts = np.searchsorted(frag[order], np.arange(fragments + 1))
+    full = np.flatnonzero(np.diff(cuts)).tolist()
+    parts = [order[cuts[f] : cuts[f + 1]] for f in full]
+    low, packed = buckets.astype("<u4"), owners.view(np.uint8).reshape(-1, 8)[:, :5]
+    return pa.record_batch([pa.array(full, pa.int32()), pa.array([low[p].tobytes() for p in parts], pa.binary()), pa.array([packed[p].tobytes() for p in parts], pa.binary())], names=["frag", "buckets", "ids"])
+
+
 def _band_rows(fragments: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flushed() -> pa.RecordBatch:
+            out = _dealt(*(np.concatenate([h[k] for h in held]) for k in range(2)), fragments)
+            held.clear()
+            return out
+
         for lines in _new_lines(batches):
-            ids, texts = np.array(list(lines), np.int64), list(lines.values())
-            for lo in range(0, len(texts), 4 * PASS_LINES):
-                some = texts[lo : lo + 4 * PASS_LINES]
-                bucket = np.concatenate([bands(signatures(some[k : k + PASS_LINES])) for k in range(0, len(some), PASS_LINES)]).reshape(-1)
-                owner = np.repeat(ids[lo : lo + len(some)].view(np.uint64) >> np.uint64(24), BANDS).view(np.uint8).reshape(-1, 8)[:, :5]
-                frag = (bucket >> np.uint64(32)).astype(np.int64) * fragments >> 32
-                order = np.argsort(frag, kind="stable")
-                cuts = np.searchsorted(frag[order], np.arange(fragments + 1))
-                full = np.flatnonzero(np.diff(cuts)).tolist()
-                parts = [order[cuts[f] : cuts[f + 1]] for f in full]
-                low = bucket.astype("<u4")
-                yield pa.record_batch([pa.array(full, pa.int32()), pa.array([low[p].tobytes() for p in parts], pa.binary()), pa.array([owner[p].tobytes() for p in parts], pa.binary())], names=["frag", "buckets", "ids"])
+            ids, texts = np.array(list(lines), np.int64).view(np.uint64) >> np.uint64(24), list(lines.values())
+            for lo in range(0, len(texts), PASS_LINES):
+                some = texts[lo : lo + PASS_LINES]
+                held.append((bands(signatures(some)).reshape(-1), np.repeat(ids[lo : lo + len(some)], BANDS)))
+                if sum(len(h[0]) for h in held) >= HELD:
+                    yield flushed()
+        if held:
+            yield flushed()
 
     return run
 
