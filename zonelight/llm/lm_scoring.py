@@ -8,7 +8,7 @@ traversal that carries the state and adds up log10 probabilities, its end includ
 
 The model is as large as the corpus, so nobody holds it whole.  Documents are dealt into chunks of
 bounded size by hash of the row and its place, so that repeated rows spread.  Each chunk sends its distinct n-grams, with its training counts, to fragments of
-the n-gram hash space; a fragment adds up the counts and answers every chunk with the totals of what it
+the n-gram hash space, a row for each fragment it has any in, so there are never more rows than n-grams; a fragment adds up the counts and answers every chunk with the totals of what it
 sent; with the answers each chunk builds the part of the automaton that its own texts can reach.  A hot
 n-gram costs a fragment one entry for each chunk.
 
@@ -105,24 +105,34 @@ def _asked(fragments: int):  # noqa: ANN202
         counts = grams.counts(table.column("train").to_numpy())
         cuts = _fragment_cuts(grams.keys, fragments).tolist()
         spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-        chunk = table.column("chunk")[0].as_py()
-        return pa.table({"frag": pa.array(np.arange(fragments), pa.int32()), "chunk": pa.array([chunk] * fragments, pa.int32()), "keys": pa.array([grams.keys[a:b].tobytes() for a, b in spans], pa.binary()), "counts": pa.array([pack_counts(counts[a:b]) for a, b in spans], pa.binary())})
+        chunk, full = table.column("chunk")[0].as_py(), [f for f, (a, b) in enumerate(spans) if b > a]
+        spans = [spans[f] for f in full]
+        return pa.table({"frag": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int32()), "keys": pa.array([grams.keys[a:b].tobytes() for a, b in spans], pa.binary()), "counts": pa.array([pack_counts(counts[a:b]) for a, b in spans], pa.binary())})
 
     return run
 
 
-def _answered(table: pa.Table) -> pa.Table:
-    """Total counts of a fragment, for every chunk in the order in which it asked; and the fragment's words and tokens."""
+def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of what each chunk asked of a fragment, the fragment's keys, the place of each asked one, and total counts."""
     keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
     counts = [unpack_counts(c, len(k)) for c, k in zip(table.column("counts").to_pylist(), keys, strict=True)]
-    lens = np.array([len(k) for k in keys])
     uniq, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, np.concatenate(counts), len(uniq)).astype(np.int64)
-    single = (uniq & np.uint64(1)).astype(bool) & (total > 0)
+    return np.array([len(k) for k in keys]), uniq, at, np.bincount(at, np.concatenate(counts), len(uniq)).astype(np.int64)
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """Total counts of a fragment, for every chunk in the order in which it asked."""
+    lens, _, at, total = _summed(table)
     ends = np.cumsum(lens)
     out = [pack_counts(total[at[b - n : b]]) for b, n in zip(ends.tolist(), lens.tolist(), strict=True)]
-    rows = table.num_rows
-    return pa.table({"chunk": table.column("chunk"), "frag": table.column("frag"), "n": pa.array(lens, pa.int64()), "totals": pa.array(out, pa.binary()), "types": pa.array([int(single.sum())] * rows, pa.int64()), "tokens": pa.array([int(total[single].sum())] * rows, pa.int64())})
+    return pa.table({"chunk": table.column("chunk"), "frag": table.column("frag"), "n": pa.array(lens, pa.int64()), "totals": pa.array(out, pa.binary())})
+
+
+def _sizes(table: pa.Table) -> pa.Table:
+    """Distinct words and tokens of a fragment that training texts have."""
+    _, uniq, _, total = _summed(table)
+    single = (uniq & np.uint64(1)).astype(bool) & (total > 0)
+    return pa.table({"types": pa.array([int(single.sum())], pa.int64()), "tokens": pa.array([int(total[single].sum())], pa.int64())})
 
 
 class Automaton:
@@ -186,7 +196,7 @@ def _scored(mu: float):  # noqa: ANN202
         order = np.argsort(answers.column("frag").to_numpy(), kind="stable").tolist()
         raw, lens = answers.column("totals").to_pylist(), answers.column("n").to_pylist()
         totals = np.concatenate([unpack_counts(raw[i], lens[i]) for i in order])
-        types, tokens = (int(answers.column(c).to_numpy().sum()) for c in ("types", "tokens"))
+        types, tokens = (answers.column(c)[0].as_py() for c in ("types", "tokens"))
         count1, count2 = totals[grams.place1], totals[grams.place2]
         # each training text has one end, so their number is the count of ends
         starts = int(count1[np.searchsorted(grams.words, END)])
@@ -219,7 +229,9 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     chunks = max(partitions(df), -(-chars // CHUNK_CHARS))
     dealt = _dealt(rows, chunks)
     asked = dealt.groupBy("chunk").applyInArrow(lean(_asked(chunks)), "frag int, chunk int, keys binary, counts binary")
-    answers = asked.groupBy("frag").applyInArrow(lean(_answered), "chunk int, frag int, n long, totals binary, types long, tokens long")
+    answers = asked.groupBy("frag").applyInArrow(lean(_answered), "chunk int, frag int, n long, totals binary").withColumn("all", F.lit(1))
+    sizes = asked.groupBy("frag").applyInArrow(lean(_sizes), "types long, tokens long").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).withColumn("all", F.lit(1))
+    answers = answers.join(F.broadcast(sizes), "all").select("chunk", "frag", "n", "totals", "types", "tokens")  # one row, for every answer
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean(_scored(mu)), SCHEMA)
 
 
