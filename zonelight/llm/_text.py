@@ -13,6 +13,7 @@ import ctypes
 import inspect
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -183,7 +184,7 @@ def ragged_take(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.nd
 class WordCache:
     """Ids of words by word hash, kept by a worker from batch to batch; beyond ``limit`` words it starts anew.
 
-    ``encode`` gets distinct words as bytes and returns an int32 array for each.  The cache only saves
+    ``encode`` gets distinct words as bytes and returns their ids in order (int32) and how many each has.  The cache only saves
     time: results don't depend on what it holds.
     """
 
@@ -196,14 +197,13 @@ class WordCache:
         self.table, self.used = np.zeros(1024, np.int32), 0
 
     def _add(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        ids = self.encode(words)
-        lens = np.array([len(x) for x in ids], np.int64)
+        flat, lens = self.encode(words)
         starts = self.used + np.cumsum(lens) - lens
         total = int(lens.sum())
         if self.used + total > len(self.table):
             self.table = np.concatenate([self.table[: self.used], np.zeros(max(total, self.used), np.int32)])
         if total:
-            self.table[self.used : self.used + total] = np.concatenate(ids)
+            self.table[self.used : self.used + total] = flat
         self.used += total
         at = np.searchsorted(self.hashes, hashes)
         self.hashes, self.starts, self.lens = (np.insert(a, at, b) for a, b in ((self.hashes, hashes), (self.starts, starts), (self.lens, lens)))
@@ -252,6 +252,10 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: Seconds between releases of a long task.
+RELEASE_S = 0.5
+
+
 def _release() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not all systems have it
@@ -259,11 +263,16 @@ def _release() -> None:
 
 
 def lean(run: Callable) -> Callable:
-    """An Arrow function that gives freed memory back to the system when it ends, as workers wait for their next task."""
+    """An Arrow function that gives freed memory back to the system now and then, and when it ends: workers stay for later tasks."""
 
     def over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        since = time.monotonic()
         try:
-            yield from run(batches)
+            for out in run(batches):
+                yield out
+                if time.monotonic() - since > RELEASE_S:
+                    _release()
+                    since = time.monotonic()
         finally:
             _release()
 

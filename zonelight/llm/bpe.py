@@ -91,7 +91,7 @@ class RankBPE:
         self.specials = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + _SPACES + r"\p{L}\p{N}]+")
         self.spaces = regex.compile(f"[{_SPACES}]+")
-        self.cache = WordCache(lambda words: self.encode_words([w.decode() for w in words]), CACHE_WORDS)
+        self.cache = WordCache(self._encoded, CACHE_WORDS)
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
@@ -223,6 +223,10 @@ class RankBPE:
                 out.append(np.concatenate([np.array([s], np.int32) if s >= 0 else done[short[w]] for s, w in x]) if x else np.zeros(0, np.int32))
         return out
 
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.encode_words([w.decode() for w in words])
+        return np.concatenate([np.zeros(0, np.int32), *ids]), np.array([len(x) for x in ids], np.int64)
+
     def encode_flat(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a batch, and the bounds of each row's ids; each distinct word is encoded once."""
         return self.cache.ids(Words(flat, offsets, lower=False), flat)
